@@ -10,50 +10,62 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DEFAULT_RANGES = 32
 
 
-def running_sums(
+_FOLDS = {
+    "sum": (F.sum, lambda here, before: here + F.coalesce(before, F.lit(0))),
+    "min": (F.min, lambda here, before: F.least(here, before)),
+    "max": (F.max, lambda here, before: F.greatest(here, before)),
+}
+
+
+def running(
     per_value: DataFrame,
     order: str,
-    sums: Sequence[str],
+    cols: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
     ranges: int = DEFAULT_RANGES,
+    how: str = "sum",
 ) -> DataFrame:
-    """Add ``cum_<s>``: inclusive running total of each ``s`` along ``order`` within ``by``.
+    """Add ``cum_<c>``: inclusive running sum, min or max of each column along ``order`` within ``by``.
 
     ``per_value`` holds one row per (by, order) value, so ties are already merged.
     """
     by = list(by)
-    sign = F.lit(-1.0) if descending else F.lit(1.0)
-    keyed = per_value.withColumn("_v", F.col(order).cast("double") * sign)
+    fold, combine = _FOLDS[how]
+    keyed = per_value.withColumn("_v", F.col(order).cast("double") * F.lit(-1.0 if descending else 1.0))
     if ranges > 1:
         steps = [i / ranges for i in range(1, ranges)]
         cuts = keyed.agg(F.percentile_approx("_v", steps, 2000).alias("c")).scalar()
-        keyed = keyed.withColumn("_range", F.size(F.filter(cuts, lambda c: c < F.col("_v"))))
+        keyed = keyed.withColumn("_cuts", cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     else:
         keyed = keyed.withColumn("_range", F.lit(0))
     inside = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    local = keyed.select("*", *[F.sum(s).over(inside).alias(f"cum_{s}") for s in sums])
+    local = keyed.select("*", *[fold(c).over(inside).alias(f"cum_{c}") for c in cols])
     if ranges == 1:
         return local.drop("_v", "_range")
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = keyed.groupBy(*by, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    totals = keyed.groupBy(*by, "_range").agg(*[fold(c).alias(f"_t_{c}") for c in cols])
     offsets = totals.select(
         *[F.col(b).alias(f"_o_{b}") for b in by],
         F.col("_range").alias("_o_range"),
-        *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_o_s_{s}") for s in sums],
+        *[fold(f"_t_{c}").over(earlier).alias(f"_o_c_{c}") for c in cols],
     )
     cond = F.col("_range") == F.col("_o_range")
     for b in by:
         cond = cond & F.col(b).eqNullSafe(F.col(f"_o_{b}"))
     joined = local.join(offsets, cond, "inner")
-    for s in sums:
-        joined = joined.withColumn(f"cum_{s}", F.col(f"cum_{s}") + F.col(f"_o_s_{s}"))
-    return joined.select(*per_value.columns, *[f"cum_{s}" for s in sums])
+    return joined.select(*per_value.columns, *[combine(F.col(f"cum_{c}"), F.col(f"_o_c_{c}")).alias(f"cum_{c}") for c in cols])
+
+
+def running_sums(
+    per_value: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, ranges: int = DEFAULT_RANGES
+) -> DataFrame:
+    return running(per_value, order, sums, by, descending, ranges, "sum")
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -87,3 +99,32 @@ def dense_positions(df: DataFrame, key: str, by: Sequence[str] = (), out: str =
     distinct = df.select(*by, key).distinct().withColumn("one", F.lit(1))
     pos = running_sums(distinct, key, ["one"], by, ranges=ranges).select(*by, key, F.col("cum_one").alias(out))
     return df.join(pos, [*by, key], "inner")
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (), ranges: int = DEFAULT_RANGES) -> DataFrame:
+    """(by..., q, quantile) with linear interpolation between order statistics; nulls are ignored.
+
+    Works on distinct values with their counts, so neither a large group nor a hot value lands in one task.
+    """
+    by = list(by)
+    counts = value_counts(df.where(F.col(value).isNotNull()), value, by)
+    cum = running_sums(counts, value, ["n_at"], by, ranges=ranges)
+    if by:
+        totals = counts.groupBy(*by).agg(F.sum("n_at").alias("_n"))
+        cum = cum.join(totals, by)
+    else:
+        cum = cum.withColumn("_n", counts.agg(F.sum("n_at").alias("n")).scalar())
+    rows = cum.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    rows = rows.withColumn("_p", F.col("q") * (F.col("_n") - 1)).withColumn("_lo", F.floor("_p")).withColumn("_hi", F.ceil("_p"))
+    before = F.col("cum_n_at") - F.col("n_at")
+
+    def at(pos: str) -> Column:
+        return F.max(F.when((before <= F.col(pos)) & (F.col(pos) < F.col("cum_n_at")), F.col(value)))
+
+    picked = rows.groupBy(*by, "q").agg(at("_lo").alias("_a"), at("_hi").alias("_b"), F.first("_p").alias("_p"))
+    frac = F.col("_p") - F.floor("_p")
+    return picked.select(*by, "q", (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias("quantile"))
+
+
+def medians(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median", ranges: int = DEFAULT_RANGES) -> DataFrame:
+    return exact_quantiles(df, value, [0.5], by, ranges).select(*by, F.col("quantile").alias(out))
