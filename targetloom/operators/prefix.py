@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from targetloom.session import cut_lineage
+
 DEFAULT_RANGES = 32
 
 
@@ -37,6 +39,8 @@ def running(
     """
     by = list(by)
     fold, combine = _FOLDS[how]
+    if ranges > 1:
+        per_value = cut_lineage(per_value)  # read three times below: cuts, range totals, rows
     keyed = per_value.withColumn("_v", F.col(order).cast("double") * F.lit(-1.0 if descending else 1.0))
     if ranges > 1:
         steps = [i / ranges for i in range(1, ranges)]

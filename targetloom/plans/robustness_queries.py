@@ -11,6 +11,7 @@ from targetloom.operators import scoring as S
 from targetloom.plans.registry import query
 from targetloom.plans.roles import ROLE_SQL, SPARK_ROLES, Inputs
 from targetloom.plans.scoring_queries import _MODELS_SQL, dual_best
+from targetloom.session import cut_lineage
 
 TRIALS, SEED, NULLS = 1000, 42, 200
 _PAIR = "round(0.35 * s1 + 0.35 * s2 + 0.20 * comp + 0.10 * {x}, 9)"
@@ -275,7 +276,9 @@ _DUAL_SCORED = f"""{_MODELS_SQL}, sc AS (SELECT model, d.drug_1, d.drug_2, ki, k
 
 
 def scored_models(x: Inputs) -> DataFrame:
-    return S.drug_pair_scores(dual_best(x), x.toxicity).select("model", "drug_1", "drug_2", "ki", "kj", F.round("drug_pair_score", 9).alias("score"))
+    # every caller reads the three rankings several times
+    scored = S.drug_pair_scores(dual_best(x), x.toxicity)
+    return cut_lineage(scored.select("model", "drug_1", "drug_2", "ki", "kj", F.round("drug_pair_score", 9).alias("score")))
 
 
 _PK = ["drug_1", "drug_2"]
