@@ -123,3 +123,20 @@ def pearson_pairs(long: DataFrame, sample: str, item: str, value: str, blocks: i
     vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     r = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
     return m.select("item_a", "item_b", r.alias("pearson_r"), F.col("n").cast("long").alias("n_samples"))
+
+
+def packed_blocks(df: DataFrame, key: str, block_size: int = 1000) -> tuple[DataFrame, int]:
+    """Rows packed into blocks of about ``block_size``: (block, rows array).  Blocks are hash buckets of the key."""
+    n = df.count()
+    blocks = max(1, -(-n // block_size))
+    packed = df.withColumn("block", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(blocks)).cast("int"))
+    packed = packed.groupBy("block").agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
+    return packed, blocks
+
+
+def block_tiles(left: DataFrame, right: DataFrame, right_blocks: int, split: int = 64) -> DataFrame:
+    """One row per (left block, right block): an equi-join on the right block id, spread over ``split`` tasks or more."""
+    a = left.select(F.col("block").alias("block_a"), F.col("rows").alias("rows_a"), F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1))).alias("block_b"))
+    b = right.select(F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
+    tiles = a.join(b, "block_b")
+    return tiles.repartition(min(split, 4 * right_blocks * right_blocks), "block_a", "block_b") if right_blocks > 1 else tiles

@@ -132,3 +132,14 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
 
 def medians(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median", ranges: int = DEFAULT_RANGES) -> DataFrame:
     return exact_quantiles(df, value, [0.5], by, ranges).select(*by, F.col("quantile").alias(out))
+
+
+def row_positions(df: DataFrame, value: str, tie: Sequence[str], by: Sequence[str] = (), out: str = "pos", ranges: int = DEFAULT_RANGES) -> DataFrame:
+    """Distinct 1-based positions 1..n per group, ordered by value and then by ``tie``.
+
+    Meant for values with few ties (hash draws): only rows that share a value are numbered by a window.
+    """
+    counts = running_sums(value_counts(df, value, by), value, ["n_at"], by, ranges=ranges)
+    starts = counts.select(*by, value, (F.col("cum_n_at") - F.col("n_at")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy(*by, value).orderBy(*tie))
+    return df.withColumn("_w", within).join(starts, [*by, value]).withColumn(out, F.col("_start") + F.col("_w")).drop("_start", "_w")

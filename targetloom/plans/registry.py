@@ -26,7 +26,12 @@ def query(name: str, sql: str | None = None) -> Callable:
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            CHECKS[name] = with_roles(sql)
+            CHECKS[name] = sql
         return fn
 
     return register
+
+
+def check_texts() -> dict[str, str]:
+    """Self-contained check texts; built after every role is known."""
+    return {name: with_roles(sql) for name, sql in CHECKS.items()}
