@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise one round of an iterative operator in reliable storage."""
+    """Materialise an intermediate result as a table in the checkpoint folder and read it back.
+
+    The folder is shared and reliable, so a lost executor never replays earlier rounds.  Reading a table instead of
+    a checkpointed RDD gives the next plan real sizes and column pruning, and drops the constraints that otherwise
+    pile up over the rounds of an iterative operator.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
