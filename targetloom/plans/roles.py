@@ -207,6 +207,8 @@ def with_roles(sql: str) -> str:
     ctes = ",\n".join(f"{name} AS ({for_duckdb(ROLE_SQL[name])})" for name in needed)
     if not needed:
         return for_duckdb(body)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return for_duckdb(f"WITH RECURSIVE {ctes},\n{body[15:]}")
     if body[:5].upper() == "WITH ":
         return for_duckdb(f"WITH {ctes},\n{body[5:]}")
     return for_duckdb(f"WITH {ctes}\n{body}")
