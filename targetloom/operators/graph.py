@@ -47,7 +47,7 @@ def strength(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     agg = ends.groupBy("v").agg(F.count(F.lit(1)).alias("n_neighbours"), F.sum("weight").alias("degree"))
     if vertices is None:
         return agg
-    return vertices.select("v").distinct().join(agg, "v", "left").fillna(0, ["n_neighbours"]).fillna(0.0, ["degree"])
+    return vertices_of(edges, vertices).join(agg, "v", "left").fillna(0, ["n_neighbours"]).fillna(0.0, ["degree"])
 
 
 def page_rank(edges: DataFrame, vertices: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, tol: float | None = 1e-6, every: int = 5) -> DataFrame:
