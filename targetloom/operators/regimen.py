@@ -75,16 +75,17 @@ def drug_pair_table(
 
 
 def drug_cards(pool: DataFrame, pair_table: DataFrame, drug_gene: DataFrame) -> DataFrame:
-    """One row per drug: its gene and a map from every partner to (synergy, tox, known).
-
-    The row size is the size of the drug pool, which the knowledge tables bound.
+    """One row per drug: (drug, idx, gene, partners); idx is the alphabetical place in the pool, partners[i] holds
+    (synergy, tox, known) with drug i.  The row width is the size of the drug pool, which the knowledge tables bound.
     """
+    names = pool.select("drug").distinct().agg(F.array_sort(F.collect_set("drug")).alias("n"))
+    index = names.select(F.posexplode("n").alias("idx", "drug"))
     a = pair_table.select(F.col("drug_a").alias("drug"), F.col("drug_b").alias("other"), "synergy", "tox", "known")
     b = pair_table.select(F.col("drug_b").alias("drug"), F.col("drug_a").alias("other"), "synergy", "tox", "known")
-    maps = a.unionByName(b).groupBy("drug").agg(
-        F.map_from_entries(F.collect_list(F.struct("other", F.struct("synergy", "tox", "known").alias("v")))).alias("partners")
-    )
-    return pool.select("drug").distinct().join(maps, "drug", "left").join(drug_gene.select("drug", "gene"), "drug", "left")
+    own = index.select("drug", F.col("drug").alias("other"), F.lit(0.0).alias("synergy"), F.lit(0).alias("tox"), F.lit(0).alias("known"))
+    rows = a.unionByName(b).unionByName(own).join(index.select(F.col("drug").alias("other"), F.col("idx").alias("o")), "other")
+    lists = rows.groupBy("drug").agg(F.array_sort(F.collect_list(F.struct("o", "synergy", "tox", "known"))).alias("partners"))
+    return index.join(lists, "drug").join(drug_gene.select("drug", "gene"), "drug", "left")
 
 
 def regimen_score(n: Column, syn_sum: Column, tox: Column, known: Column, distinct_genes: Column) -> Column:
@@ -99,28 +100,35 @@ def regimen_score(n: Column, syn_sum: Column, tox: Column, known: Column, distin
 def beam_search(
     pools: DataFrame, cards: DataFrame, key: str = "patient", beam_width: int = 50, max_depth: int = 5, top_k: int = 10
 ) -> DataFrame:
-    """Best drug sets of size 2..max_depth per key.  ``pools``: (key, drugs sorted array).
+    """Best drug sets of size 2..max_depth per key.  ``pools``: (key, drugs sorted array); ``cards``: see drug_cards.
 
-    Keys with the same pool share one search.  A state carries its running sums, so adding a drug needs only the
-    partner map of that drug.  Every depth is cut to ``beam_width`` states per pool, then written to the checkpoint
-    folder, so a lost executor repeats one depth at most.  Equal scores keep generation order.
+    Keys with the same pool share one search.  A state is a list of drug indexes with its running sums, so adding a
+    drug reads a few array cells.  Only the surviving states (at most ``beam_width`` per pool) are shuffled, by pool;
+    growing, removing permutations and ranking then run inside that partitioning.  Every depth is written to the
+    checkpoint folder.  Equal scores keep generation order.
     """
-    signed = pools.withColumn("pool", F.array_join("drugs", "\u0001"))
-    searches = signed.groupBy("pool").agg(F.first("drugs").alias("drugs"))
-    empty = F.array().cast("array<string>")
+    index = cards.agg(F.map_from_entries(F.collect_list(F.struct("drug", "idx"))).alias("m")).scalar()
+    names = cards.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "drug"))), lambda s: s.getField("drug")).alias("n")).scalar()
+    searches = pools.select("drugs").distinct().withColumn("_m", index)
+    searches = searches.select("drugs", F.monotonically_increasing_id().alias("pid"), F.transform("drugs", lambda d: F.element_at(F.col("_m"), d)).alias("avail"))
+    searches = cut_lineage(searches)  # fixes the ids
+    none = F.array().cast("array<int>")
     frontier = searches.select(
-        "pool", "drugs", empty.alias("members"), empty.alias("genes"), F.lit(0.0).alias("syn"), F.lit(0).alias("tox"),
+        "pid", "avail", none.alias("members"), F.array().cast("array<string>").alias("genes"), F.lit(0.0).alias("syn"), F.lit(0).alias("tox"),
         F.lit(0).alias("known"), F.lit(1).alias("place"),
     )
+    add_card = cards.select(F.col("idx").alias("drug"), "gene", "partners")
+    # a fixed task count: the survivors are few bytes but grow many-fold, so they must not be coalesced by size
+    tasks = int(pools.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found: DataFrame | None = None
     for depth in range(1, max_depth + 1):
-        grown = frontier.select("*", F.posexplode(F.array_except("drugs", "members")).alias("pos", "drug")).join(cards, "drug")
+        grown = frontier.repartition(tasks, "pid").select("*", F.posexplode(F.array_except("avail", "members")).alias("pos", "drug")).join(add_card, "drug")
 
         def add(field: str, start: Column) -> Column:
-            return F.aggregate("members", start, lambda acc, m: acc + F.element_at(F.col("partners"), m).getField(field))
+            return F.aggregate("members", start, lambda acc, m: acc + F.get("partners", m).getField(field))
 
         grown = grown.select(
-            "pool", "drugs", F.concat("members", F.array("drug")).alias("members"),
+            "pid", "avail", F.concat("members", F.array("drug")).alias("members"),
             F.array_union("genes", F.array(F.coalesce("gene", F.lit("\u0002none")))).alias("genes"),
             (F.col("syn") + add("synergy", F.lit(0.0))).alias("syn"),
             (F.col("tox") + add("tox", F.lit(0))).alias("tox"),
@@ -128,25 +136,25 @@ def beam_search(
             "place", "pos",
         )
         # permutations of one set: keep the first generated
-        state = F.struct("drugs", "members", "genes", "syn", "tox", "known", "place", "pos")
-        unique = grown.groupBy("pool", F.array_join(F.array_sort("members"), " + ").alias("regimen")).agg(
-            F.min_by(state, F.struct("place", "pos")).alias("s")
-        )
-        scored = unique.select("pool", "regimen", "s.*").withColumn(
+        state = F.struct("avail", "members", "genes", "syn", "tox", "known", "place", "pos")
+        unique = grown.groupBy("pid", F.array_sort("members").alias("regimen")).agg(F.min_by(state, F.struct("place", "pos")).alias("s"))
+        scored = unique.select("pid", "regimen", "s.*").withColumn(
             "score", regimen_score(F.lit(depth), F.col("syn"), F.col("tox"), F.col("known"), F.size("genes"))
         )
-        order = Window.partitionBy("pool").orderBy(F.desc("score"), "place", "pos")
+        order = Window.partitionBy("pid").orderBy(F.desc("score"), "place", "pos")
         ranked = scored.withColumn("new_place", F.row_number().over(order)).where(F.col("new_place") <= max(beam_width, top_k))
         ranked = cut_lineage(ranked)
         if depth >= 2:
-            rows = ranked.select("pool", "regimen", "score", F.lit(depth).alias("size"), "new_place")
+            rows = ranked.select("pid", "regimen", "score", F.lit(depth).alias("size"), "new_place")
             found = rows if found is None else found.unionByName(rows)
         frontier = ranked.where(F.col("new_place") <= beam_width).select(
-            "pool", "drugs", "members", "genes", "syn", "tox", "known", F.col("new_place").alias("place")
+            "pid", "avail", "members", "genes", "syn", "tox", "known", F.col("new_place").alias("place")
         )
-    final = Window.partitionBy("pool").orderBy(F.desc("score"), "size", "new_place")
-    best = found.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= top_k)
-    return signed.select(key, "pool").join(best.select("pool", "regimen", "score", "size", "rank"), "pool").drop("pool")
+    final = Window.partitionBy("pid").orderBy(F.desc("score"), "size", "new_place")
+    best = found.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= top_k).withColumn("_n", names)
+    text = F.array_join(F.array_sort(F.transform("regimen", lambda i: F.get(F.col("_n"), i))), " + ")
+    best = best.select("pid", text.alias("regimen"), "score", "size", "rank")
+    return pools.select(key, "drugs").join(searches.select("drugs", "pid"), "drugs").join(best, "pid").select(key, "regimen", "score", "size", "rank")
 
 
 def first_class(alterations: DataFrame) -> DataFrame:

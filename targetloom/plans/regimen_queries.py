@@ -323,8 +323,8 @@ _VCF_SQL = """vcf AS (SELECT CAST(l_suppkey AS VARCHAR) AS file, CAST(l_linenumb
         CAST(l_quantity AS INTEGER) AS depth, l_tax AS af FROM lineitem JOIN part ON l_partkey = p_partkey),
     loci AS (SELECT CAST(1 + p_partkey % 7 AS VARCHAR) AS chrom, CAST(p_retailprice * 100 AS BIGINT) * 20 AS s, CAST(p_retailprice * 100 AS BIGINT) * 20 + 30000 AS e,
         p_brand AS gene, p_partkey AS ord FROM part WHERE p_type = 'PROMO'),
-    hit AS (SELECT file, chrom, pos, tag, effect, depth, af, min_by(gene, ord) AS g FROM (SELECT vcf.*, loci.gene, loci.ord FROM vcf LEFT JOIN loci
-        ON loci.chrom = vcf.chrom AND pos >= s AND pos <= e) q GROUP BY ALL)"""
+    near AS (SELECT p.chrom, p.pos, min_by(gene, ord) AS g FROM (SELECT DISTINCT chrom, pos FROM vcf) p JOIN loci ON loci.chrom = p.chrom AND p.pos >= s AND p.pos <= e GROUP BY 1, 2),
+    hit AS (SELECT vcf.*, g FROM vcf LEFT JOIN near ON near.chrom = vcf.chrom AND near.pos = vcf.pos)"""
 
 
 def _vcf(x: Inputs) -> tuple[DataFrame, DataFrame]:
@@ -358,7 +358,6 @@ def _(x: Inputs) -> DataFrame:
     """A9 record parse, A10/C14 interval join, C13 kinase flag, L13 severity."""
     lines, loci = _vcf(x)
     v = V.parse_vcf(lines, x.panel_scores.select(F.col("kinase_id").alias("gene")), loci, 50_000)
-    v = v.distinct()
     return v.groupBy("effect", "gene").agg(
         F.count(F.lit(1)).alias("n"), F.sum("depth").alias("depth"), r6(F.avg("allele_freq")).alias("mean_af"),
         F.bool_or("is_kinase").alias("is_kinase"), F.max("severity").alias("severity"),
@@ -374,7 +373,7 @@ def _(x: Inputs) -> DataFrame:
 )
 def _(x: Inputs) -> DataFrame:
     lines, loci = _vcf(x)
-    return V.variant_summary(V.parse_vcf(lines, x.panel_scores.select(F.col("kinase_id").alias("gene")), loci, 50_000).distinct())
+    return V.variant_summary(V.parse_vcf(lines, x.panel_scores.select(F.col("kinase_id").alias("gene")), loci, 50_000))
 
 
 @query(
@@ -383,5 +382,5 @@ def _(x: Inputs) -> DataFrame:
 )
 def _(x: Inputs) -> DataFrame:
     lines, loci = _vcf(x)
-    v = V.parse_vcf(lines, x.panel_scores.select(F.col("kinase_id").alias("gene")), loci, 50_000).distinct()
+    v = V.parse_vcf(lines, x.panel_scores.select(F.col("kinase_id").alias("gene")), loci, 50_000)
     return v.where("allele_freq >= 0.05 AND depth >= 20 AND severity >= 0").groupBy("effect").agg(F.count(F.lit(1)).alias("n"))
