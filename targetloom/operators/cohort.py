@@ -150,10 +150,22 @@ def altered_genes(maf: DataFrame, panel: DataFrame, patients: DataFrame) -> Data
 
 
 def altered_genes_by_fragment(maf: DataFrame, panel: DataFrame, fragments: DataFrame) -> DataFrame:
-    """The same for patient ids that are a fragment of the barcode: a bounded broadcast list, matched by contains."""
+    """The same for patient ids that are any fragment of the barcode.
+
+    Each distinct barcode is cut into its substrings of the id lengths in use, so the match is an equi-join.
+    """
     rows = restrict_to(maf.select(F.col("Tumor_Sample_Barcode").alias("barcode"), F.col("Hugo_Symbol").alias("gene")), panel, "gene").distinct()
-    hit = rows.join(fragments.select("patient").distinct(), F.col("barcode").contains(F.col("patient")))
-    return hit.groupBy("patient").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
+    ids = fragments.select("patient").distinct()
+    lengths = sorted(r[0] for r in ids.select(F.length("patient")).distinct().collect())  # at most a barcode's length
+    barcodes = rows.select("barcode").distinct().withColumn("_n", F.length("barcode"))
+    pieces = [
+        F.when(F.col("_n") >= k, F.transform(F.sequence(F.lit(1), F.col("_n") - k + 1), lambda i, k=k: F.substring(F.col("barcode"), i, F.lit(k)))).otherwise(
+            F.array().cast("array<string>")
+        )
+        for k in lengths
+    ]
+    hits = barcodes.select("barcode", F.explode(F.array_distinct(F.concat(*pieces))).alias("patient")).join(ids, "patient", "left_semi")
+    return rows.join(hits, "barcode").groupBy("patient").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
 
 
 def panel_mutations(maf: DataFrame, panel: DataFrame) -> DataFrame:

@@ -139,6 +139,9 @@ def standardised(df: DataFrame, features: Sequence[str], by: Sequence[str] = ())
     return out.withColumns(scaled).drop(*[f"_{n}_{c}" for c in features for n in ("m", "s")])
 
 
+MAX_BROADCAST_GROUPS = 50_000
+
+
 class CoxFit:
     """Coefficients and covariance per group; ``table`` has one row per (group, feature)."""
 
@@ -146,10 +149,11 @@ class CoxFit:
         self.by, self.features, self.groups, self._spark = list(by), list(features), groups, spark
 
     def betas(self, types: Sequence[str]) -> DataFrame:
-        """(by..., b_<feature>) for the next pass; as many rows as there are groups."""
+        """(by..., b_<feature>) for the next pass; broadcast only while the number of groups is small."""
         rows = [(*g, *[float(v) for v in fit["beta"]]) for g, fit in self.groups.items()]
         fields = [f"`{b}` {t}" for b, t in zip(self.by, types)] + [f"`b_{f}` double" for f in self.features]
-        return self._spark.createDataFrame(rows, ", ".join(fields))
+        out = self._spark.createDataFrame(rows, ", ".join(fields))
+        return F.broadcast(out) if self.by and len(rows) <= MAX_BROADCAST_GROUPS else out
 
     def table(self, types: Sequence[str]) -> DataFrame:
         rows = []
@@ -174,7 +178,7 @@ def risk_tables(df: DataFrame, features: Sequence[str], by: Sequence[str], betas
     """Per (group, event time): risk-set sums, event sums and the Efron tie sums at the given coefficients."""
     by = list(by)
     p = range(len(features))
-    rows = df.join(F.broadcast(betas), by) if by else df.withColumn("_b", betas.select(F.struct(*betas.columns).alias("b")).scalar()).select("*", "_b.*").drop("_b")
+    rows = df.join(betas, by) if by else df.withColumn("_b", betas.select(F.struct(*betas.columns).alias("b")).scalar()).select("*", "_b.*").drop("_b")
     rows = rows.withColumn("_w", F.exp(_linear(features)))
     ev = F.col("event").cast("double")
     terms = {"s0": F.col("_w")}
@@ -247,7 +251,7 @@ def predict_risk(df: DataFrame, fit: CoxFit, features: Sequence[str]) -> DataFra
     """Linear predictor with the coefficients of the row's group."""
     types = [dict(df.dtypes)[b] for b in fit.by]
     b = fit.betas(types)
-    rows = df.join(F.broadcast(b), fit.by) if fit.by else df.withColumn("_b", b.select(F.struct(*b.columns).alias("b")).scalar()).select("*", "_b.*").drop("_b")
+    rows = df.join(b, fit.by) if fit.by else df.withColumn("_b", b.select(F.struct(*b.columns).alias("b")).scalar()).select("*", "_b.*").drop("_b")
     return rows.withColumn("risk", _linear(features)).drop(*[f"b_{f}" for f in features])
 
 

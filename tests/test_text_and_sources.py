@@ -113,3 +113,13 @@ def test_grouped_cv_uses_planted_features(spark):
     assert L.regression_metrics(pred, "target", "prediction").first()["r2"] > 0.3
     top = [r["feature"] for r in imp.orderBy(F.desc("importance")).collect()]
     assert set(top[:2]) == {"a", "b"}
+
+
+def test_patient_ids_as_barcode_fragments(spark):
+    from targetloom.operators.cohort import altered_genes_by_fragment
+
+    maf = spark.createDataFrame([("G1", "TCGA-AA-0001-01A"), ("G2", "TCGA-AA-0001-01A"), ("G1", "TCGA-AB-0002-01A")], "Hugo_Symbol string, Tumor_Sample_Barcode string")
+    panel = spark.createDataFrame([("G1",), ("G2",)], "gene string")
+    ids = spark.createDataFrame([("AA-0001",), ("TCGA-AB-0002",), ("ZZ-9",)], "patient string")
+    got = {r["patient"]: r["genes"] for r in altered_genes_by_fragment(maf, panel, ids).collect()}
+    assert got == {"AA-0001": ["G1", "G2"], "TCGA-AB-0002": ["G1"]}
