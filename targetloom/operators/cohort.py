@@ -158,12 +158,13 @@ def altered_genes_by_fragment(maf: DataFrame, panel: DataFrame, fragments: DataF
     ids = fragments.select("patient").distinct()
     lengths = sorted(r[0] for r in ids.select(F.length("patient")).distinct().collect())  # at most a barcode's length
     barcodes = rows.select("barcode").distinct().withColumn("_n", F.length("barcode"))
-    pieces = [
-        F.when(F.col("_n") >= k, F.transform(F.sequence(F.lit(1), F.col("_n") - k + 1), lambda i, k=k: F.substring(F.col("barcode"), i, F.lit(k)))).otherwise(
-            F.array().cast("array<string>")
-        )
-        for k in lengths
-    ]
+
+    def substrings(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.col("_n") - k + 1)
+        cut = F.transform(starts, lambda i: F.substring(F.col("barcode"), i, F.lit(k)))
+        return F.when(F.col("_n") >= k, cut).otherwise(F.array().cast("array<string>"))
+
+    pieces = [substrings(k) for k in lengths]
     hits = barcodes.select("barcode", F.explode(F.array_distinct(F.concat(*pieces))).alias("patient")).join(ids, "patient", "left_semi")
     return rows.join(hits, "barcode").groupBy("patient").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
 
