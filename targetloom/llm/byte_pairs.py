@@ -17,7 +17,7 @@ ODD = re.compile(rf" {WHITE}|{WHITE} ")
 RARE = re.compile(r"[^\S\x00-\x20]|[\x0b\x0c]")
 NEAR = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
 CUTS = re.compile(rf"{WHITE}*(?:(?!{WHITE}).)+|{WHITE}+", re.S)
-CACHE_WORDS = 600_000  # per Python worker; a cache is dropped and refilled beyond this and one text's words
+CACHE_WORDS = 1_200_000  # per Python worker; a cache is dropped and refilled beyond this and one text's words
 
 _encoders: dict[str, Encoder] = {}
 
@@ -45,8 +45,6 @@ class Encoder:
 
     def learn(self, known: dict[str, bytes], cuts: list[str], lead: str) -> None:
         """Encode unknown cuts that start with white space (``lead`` or their own) and end without it, many in one text."""
-        if len(known) > CACHE_WORDS:
-            known.clear()
         for i in range(0, len(cuts), 5000):
             some = cuts[i : i + 5000]
             ids = np.asarray(self.ids(lead + lead.join(some)), dtype="<u4")
@@ -73,6 +71,8 @@ class Encoder:
             try:
                 body = b"".join([known[c] for c in middle])
             except KeyError:
+                if len(known) > CACHE_WORDS:
+                    known.clear()
                 self.learn(known, [c for c in dict.fromkeys(middle) if c not in known], lead)
                 body = b"".join([known[c] for c in middle])
             yield self._single(head) + body + self._single(tail)

@@ -165,8 +165,6 @@ class PieceCodec:
 
     def learn(self, words: list[str]) -> None:
         """Encode unknown words: those whose longest pieces tile them compatibly at once, the others by backtracking."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         for i in range(0, len(words), 20_000):
             some = words[i : i + 20_000]
             found = np.array([(e, p) for e, p in self.automaton.iter_long(BREAK.join(some))], dtype=np.int64).reshape(-1, 2)
@@ -196,6 +194,8 @@ class PieceCodec:
         try:
             body = b"".join([known[w] for w in words])
         except KeyError:
+            if len(known) > CACHE_WORDS:
+                known.clear()
             self.learn([w for w in dict.fromkeys(words) if w not in known])
             body = b"".join([known[w] for w in words])
         return np.array([self.begin], "<u4").tobytes() + body + np.array([self.end], "<u4").tobytes()
