@@ -28,8 +28,10 @@ def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> Da
     hot = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("sha", F.lit(True).alias("hot"))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).otherwise(F.lit(0))
     salted = rows.join(F.broadcast(hot), "sha", "left").withColumn("salt", salt)
-    ranged = salted.repartitionByRange(parts, "norm", "salt")  # satisfies the windows below: no further exchange
-    run = Window.partitionBy("norm", "salt")
+    # a text's first characters and digest order the ranges, so the sampled splitters stay short; all of the text
+    # decides inside one.  The range columns are part of the windows' keys: no further exchange
+    ranged = salted.withColumn("head", F.substring("norm", 1, 32)).repartitionByRange(parts, "head", "sha", "salt")
+    run = Window.partitionBy("head", "sha", "salt", "norm")
     first_in_run = F.row_number().over(run.orderBy(F.col("doc_id").asc_nulls_last())) == 1
     runs = cut_lineage(
         ranged.select(
