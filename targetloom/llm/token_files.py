@@ -169,7 +169,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                 files, base = shared_files(folder)
                 files.create_dir(base, recursive=True)
                 name = f"shard-{shard:06d}-{uuid.uuid4().hex[:8]}.pfor"
-                writer = ShardWriter(files.open_output_stream(f"{base}/{name}"))
+                writer = ShardWriter(files.open_output_stream(f"{base}/{name}", compression=None))
             for doc_id, ids in zip(batch["doc_id"].tolist(), encoder(vocabulary).encode(batch["text"].tolist())):
                 writer.add(None if doc_id is None else int(doc_id), np.frombuffer(ids + end, dtype="<u4"))
         if writer is not None:

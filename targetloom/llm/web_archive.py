@@ -86,7 +86,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, packed: bo
                 files, base = shared_files(folder)
                 files.create_dir(base, recursive=True)
                 name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.warc{'.gz' if packed else ''}"
-                out = files.open_output_stream(f"{base}/{name}")
+                out = files.open_output_stream(f"{base}/{name}", compression=None)
             for page_id, url, html, again, first in batch.itertuples(index=False, name=None):
                 page_id, first = None if page_id is None else int(page_id), None if first is None else int(first)
                 raw = record("revisit" if again else "response", page_id, url, date, html.encode(), first)
