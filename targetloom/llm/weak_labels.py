@@ -21,7 +21,7 @@ from targetloom.session import cut_lineage
 SAMPLE_DOCS = 10_000
 SLOT_BITS = 14
 THRESHOLD = 0.5
-LABELLERS = ("symbols", "capitals", "variety", "repeats", "letterless", "word_length")
+LABELLERS = ("symbols", "capitals", "variety", "repeats", "letterless", "word_length", "marked")
 _KIND = np.zeros((4, 256), dtype=bool)  # letters, small and capital; symbols: other than letters, digits, sentence marks and space
 _KIND[0, [*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _KIND[1, 65:91] = True
@@ -31,7 +31,8 @@ _EDGES = np.array([0.01, 0.02, 0.04, 0.06, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0
 
 
 def statistics(words: Words) -> dict[str, np.ndarray]:
-    """Per text: shares of symbols, capitals, distinct words, adjacent repeats and words without a letter; mean length."""
+    """Per text: shares of symbols, capitals, distinct words, adjacent repeats, words without a letter
+    and words with a symbol; mean length."""
     n = np.diff(words.first)
     some = np.maximum(n, 1)
 
@@ -51,6 +52,7 @@ def statistics(words: Words) -> dict[str, np.ndarray]:
     again = np.zeros(len(hashes), dtype=bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
     so_far = np.concatenate(([0], np.cumsum(letters)))
+    odd = np.concatenate(([0], np.cumsum(_KIND[2][words.raw])))
     return {
         "words": n, "letters": per_text(letters),
         "symbols": per_text(_KIND[2][words.raw]) / np.maximum(written, 1),
@@ -58,6 +60,7 @@ def statistics(words: Words) -> dict[str, np.ndarray]:
         "variety": per_word(fresh), "repeats": per_word(again),
         "letterless": per_word(so_far[words.stop] == so_far[words.start]),
         "word_length": written / some,
+        "marked": per_word(odd[words.stop] > odd[words.start]),
     }
 
 
@@ -76,6 +79,7 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
         vote(s["repeats"] > 0.1, s["repeats"] < 0.05, n >= 10),
         vote(s["letterless"] > 0.15, s["letterless"] < 0.05, n >= 10),
         vote((length < 4.2) | (length > 9), (length > 4.6) & (length < 7), n >= 10),
+        vote(s["marked"] > 0.2, s["marked"] < 0.1, n >= 10),
     ], axis=1).astype(np.int8)
 
 
