@@ -12,7 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from targetloom.llm.wordgrid import chunks, mix
 
@@ -54,17 +55,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
 
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["th"] == right["th"])
-
-
 def over_texts(docs: DataFrame, schema: str, work: Callable[[list[bytes], int, pa.RecordBatch], dict], carry: tuple[str, ...] = ("doc_id", "th")) -> DataFrame:
     """Run ``work`` on chunks of texts; it returns columns by name, ``row`` among them as the index of each row's text.
 
     The ``carry`` columns of that text come first in the result, whatever their types.
     """
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    names = [c.strip().split()[0] for c in schema.split(",")]
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

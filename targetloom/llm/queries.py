@@ -11,4 +11,4 @@ from targetloom.llm import registry
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = registry.QUERIES
 CHECKS: dict[str, str] = registry.CHECKS
 
-from targetloom.llm import content_sort, debruijn, packing, piece_codec, token_files, weak_labels, web_archive  # noqa: E402,F401  each module registers its query
+from targetloom.llm import content_sort, debruijn, packing, piece_codec, suffix_arrays, token_files, weak_labels, web_archive  # noqa: E402,F401  each module registers its query
