@@ -122,7 +122,24 @@ def near_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     its component is its own identifier.  Rows that repeat an identifier are rows of their own; a null identifier takes
     the smallest of its component, null if there is none.  An empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _placed(anchors.keyed(docs, id_col, text_col), percent, size, block).drop("th")
+
+
+def drop_near(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component of ``near_components``: that with the smallest identifier.
+
+    Rows with an empty set stay.  Where texts of one component repeat its smallest identifier, one of those texts stays.
+    Columns are unchanged, whatever their names.
+    """
+    placed = _placed(anchors.keyed(docs, id_col, text_col), percent, size, block)
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = placed.where(own & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.min("th").alias("th"))
+    kept = first.union(placed.where("n_shingles = 0").select("doc_id", "th").distinct()).select(F.col("doc_id").alias("_keep_id"), F.col("th").alias("_keep_th"))
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_keep_id")) & (F.hash(docs[text_col]) == F.col("_keep_th")), "left_semi")
+
+
+def _placed(rows: DataFrame, percent: int, size: int, block: int) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id) of rows from ``anchors.keyed``."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def digests(text: np.ndarray, token: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +163,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         some = place < length[text]
         return {"row": text[some], "token": signed(token[some])}
 
-    measured = cut_lineage(anchors.over_texts(rows, "n long, d1 long, d2 long", measure, carry=("doc_id",)))
+    measured = cut_lineage(anchors.over_texts(rows, "n long, d1 long, d2 long", measure))
     # first order: prefixes by ascending hash; a document must share so many tokens as any partner would
     shared = anchors.over_texts(rows, "token long", prefixes, carry=()).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * SLACK_PERCENT / 100)
@@ -177,7 +194,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     grouped = known.join(lowest, "label").select("d1", "d2", "n", "low")
     final = classes.join(grouped, ["d1", "d2", "n"], "left").select("d1", "d2", "n", F.coalesce("low", "rep").alias("component_id"))
     placed = measured.join(final, ["d1", "d2", "n"], "left")
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).cast(id_type).alias("component_id"))
+    return placed.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).cast(id_type).alias("component_id"))
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
