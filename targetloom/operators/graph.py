@@ -55,7 +55,8 @@ def page_rank(edges: DataFrame, vertices: DataFrame | None = None, damping: floa
 
     Contributions are summed map-side per target, so a hub receives one partial sum per task.  A round reads the
     ranks three times, so every round is written out; with ``tol`` the L1 change is compared with n x tol every
-    ``every`` rounds.
+    ``every`` rounds, and an error tells that it has not settled within ``rounds``.  With ``tol=None`` exactly
+    ``rounds`` rounds are made.
     """
     deg = cut_lineage(strength(edges, vertices))
     n = deg.count()
@@ -72,20 +73,22 @@ def page_rank(edges: DataFrame, vertices: DataFrame | None = None, damping: floa
             if tol is not None and new.agg(F.sum(F.abs(F.col("new_rank") - F.col("old")))).first()[0] < n * tol:
                 ranks = new.select("v", "dangling", F.col("new_rank").alias("rank"))
                 break
+            if tol is not None and i == rounds:
+                raise RuntimeError(f"PageRank has not settled within {rounds} rounds")
         ranks = new.select("v", "dangling", F.col("new_rank").alias("rank"))
     return ranks.select("v", F.col("rank").alias("pagerank"))
 
 
-def connected_components(edges: DataFrame, vertices: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(v, component): smallest vertex id of the component.
 
     Each round takes the smallest label of the neighbours and then the label of that label (pointer jumping), so a
-    long chain needs logarithmically many rounds.
+    long chain needs logarithmically many rounds; they go on until no label changes.
     """
     links = cut_lineage(both_ways(edges.withColumn("weight", F.lit(1.0))).select("u", "v").distinct())
     verts = vertices_of(edges, vertices)
     labels = cut_lineage(verts.select("v", F.col("v").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         near = links.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("near"))
         low = labels.join(near, "v", "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
         hop = low.select(F.col("v").alias("label"), F.col("label").alias("hop"))
@@ -96,35 +99,38 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
     return labels.select("v", F.col("label").alias("component"))
 
 
-def betweenness(edges: DataFrame, vertices: DataFrame | None = None, inverse_weight: bool = False, max_rounds: int = 200) -> DataFrame:
-    """Normalised betweenness with the weight as distance, exact, as joins on (source, vertex).
+def betweenness(edges: DataFrame, vertices: DataFrame | None = None, inverse_weight: bool = False) -> DataFrame:
+    """Normalised betweenness with the weight (above 0) as distance, exact, as joins on (source, vertex).
 
     1. distances: relax edges until nothing changes; 2. shortest-path counts: one wave per hop along the edges that
     lie on shortest paths; 3. dependencies: waves backwards with the ratio of path counts.  Nothing is broadcast and
-    no source is handled by a single task.
+    no source is handled by a single task.  Rounds go on until nothing changes; sums of weights are equal when they
+    agree to twelve digits.
     """
+    if not edges.where("weight is null or not weight > 0").isEmpty():
+        raise ValueError("betweenness needs weights above 0: paths of length 0 have no shortest form")
     links = both_ways(edges).groupBy("u", "v").agg(F.min(F.when(F.lit(inverse_weight), 1 / F.col("w")).otherwise(F.col("w"))).alias("w"))
     links = cut_lineage(links)
     verts = cut_lineage(vertices_of(edges, vertices))
     n = verts.count()
     dist = verts.select(F.col("v").alias("s"), "v", F.lit(0.0).alias("d"), F.lit(True).alias("fresh"))
-    for _ in range(max_rounds):
-        step = dist.where("fresh").select("s", F.col("v").alias("u"), "d").join(links, "u").select("s", "v", F.round(F.col("d") + F.col("w"), 9).alias("d"))
+    while True:
+        step = dist.where("fresh").select("s", F.col("v").alias("u"), "d").join(links, "u").select("s", "v", (F.col("d") + F.col("w")).alias("d"))
         best = step.groupBy("s", "v").agg(F.min("d").alias("nd"))
         dist = cut_lineage(dist.join(best, ["s", "v"], "full").select(
             "s", "v", F.least(F.coalesce("d", "nd"), F.coalesce("nd", "d")).alias("d"),
-            (F.col("nd").isNotNull() & (F.col("d").isNull() | (F.col("nd") < F.col("d")))).alias("fresh"),
+            (F.col("nd").isNotNull() & (F.col("d").isNull() | (F.col("nd") < F.col("d") * (1 - 1e-12)))).alias("fresh"),
         ))
         if dist.where("fresh").isEmpty():
             break
     du = dist.select("s", F.col("v").alias("u"), F.col("d").alias("du"))
-    on_path = du.join(links, "u").join(dist.select("s", "v", "d"), ["s", "v"]).where(F.abs(F.round(F.col("du") + F.col("w"), 9) - F.col("d")) < 1e-9)
+    on_path = du.join(links, "u").join(dist.select("s", "v", "d"), ["s", "v"]).where(F.abs(F.col("du") + F.col("w") - F.col("d")) <= 1e-12 * F.col("d"))
     on_path = cut_lineage(on_path.select("s", "u", "v"))
 
     def waves(start: DataFrame, step: DataFrame, come: str, go: str) -> DataFrame:
         """Sum of all waves of a linear propagation along the path edges."""
         total, wave = start, start
-        for _ in range(max_rounds):
+        while True:
             wave = wave.withColumnRenamed("k", come).join(step, ["s", come]).groupBy("s", F.col(go).alias("k")).agg(F.sum(F.col("x") * F.col("f")).alias("x"))
             wave = cut_lineage(wave)
             if wave.isEmpty():

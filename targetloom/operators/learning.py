@@ -52,11 +52,13 @@ def pooled_array_features(df: DataFrame, vector: str, width: int) -> DataFrame:
 
 
 def index_map(df: DataFrame, col: str, out: str = "index") -> DataFrame:
-    """0-based index of each distinct text in alphabetical order, numbered by running counts per leading letter pair."""
-    d = df.select(col).distinct().withColumn("_h", F.conv(F.hex(F.substring(F.rpad(F.col(col), 4, " "), 1, 4).cast("binary")), 16, 10).cast("double"))
-    counts = running_sums(d.groupBy("_h").agg(F.count(F.lit(1)).alias("n")), "_h", ["n"]).select("_h", (F.col("cum_n") - F.col("n")).alias("_s"))
-    within = F.row_number().over(Window.partitionBy("_h").orderBy(col)) - 1
-    return d.withColumn("_w", within).join(counts, "_h").select(col, (F.col("_s") + F.col("_w")).cast("long").alias(out))
+    """0-based index of each distinct text in byte order: ranges of texts, numbered inside and offset by the earlier ranges' counts."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = cut_lineage(df.select(col).distinct().repartitionByRange(parts, col).withColumn("_p", F.spark_partition_id()))
+    counts = d.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))  # one row per range
+    starts = counts.select("_p", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(col)) - 1
+    return d.withColumn("_w", within).join(starts, "_p").select(col, (F.col("_s") + F.col("_w")).cast("long").alias(out))
 
 
 def target_mask(df: DataFrame, targets: str, entities: DataFrame, entity: str) -> DataFrame:
@@ -180,6 +182,7 @@ def grouped_cv_model(df: DataFrame, features: Sequence[str], target: str, group:
 # --- set distances ------------------------------------------------------------------------------------------------
 
 def _tile_sums(left: DataFrame, right: DataFrame, fn, schema: str, block_size: int) -> DataFrame:
+    one_table = left is right
     pa, _na = packed_blocks(left, "id", block_size)
     pb, nb = packed_blocks(right, "id", block_size)
 
@@ -189,7 +192,8 @@ def _tile_sums(left: DataFrame, right: DataFrame, fn, schema: str, block_size: i
                 a = np.array([r["vector"] for r in ra], dtype=float)
                 b = np.array([r["vector"] for r in rb], dtype=float)
                 d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
-                same = np.array([r["id"] for r in ra])[:, None] == np.array([r["id"] for r in rb])[None, :]
+                # a row is at distance 0 from itself; two tables may use the same identifiers for different rows
+                same = np.array([r["id"] for r in ra])[:, None] == np.array([r["id"] for r in rb])[None, :] if one_table else np.zeros(d2.shape, dtype=bool)
                 d2[same] = 0.0
                 yield fn(d2, same)
 
@@ -210,7 +214,7 @@ def energy_distance(x: DataFrame, y: DataFrame, block_size: int = 1000) -> DataF
 
 
 def median_squared_distance(z: DataFrame, block_size: int = 1000, bins: int = 4096) -> float:
-    """Exact median of the positive squared distances: a histogram pass finds the bin, a second pass reads that bin."""
+    """Exact median of the positive squared distances, 1 if there is none: a histogram pass finds the bin, a second pass reads that bin."""
     top = _tile_sums(z, z, lambda d2, s: pd.DataFrame({"m": [d2.max()]}), "m double", block_size).agg(F.max("m")).first()[0]
     width = top / bins if top else 1.0
 
@@ -221,6 +225,8 @@ def median_squared_distance(z: DataFrame, block_size: int = 1000, bins: int = 40
 
     h = _tile_sums(z, z, hist, "b int, c long", block_size).groupBy("b").agg(F.sum("c").alias("c")).toPandas().sort_values("b")
     n = int(h["c"].sum())
+    if n == 0:
+        return 1.0
     lo, hi = (n - 1) // 2, n // 2
     cum = h["c"].cumsum().to_numpy()
     wanted = sorted({int(h["b"].to_numpy()[np.searchsorted(cum, p, side="right")]) for p in (lo, hi)})
@@ -238,12 +244,12 @@ def median_squared_distance(z: DataFrame, block_size: int = 1000, bins: int = 40
 
 
 def rbf_mmd(x: DataFrame, y: DataFrame, block_size: int = 1000) -> DataFrame:
-    """Squared MMD with a Gaussian kernel whose bandwidth is the median positive squared distance of the pooled rows."""
+    """Squared MMD with the kernel exp(-d2 / (2 x bandwidth)); the bandwidth is the median positive squared distance of the pooled rows."""
     pooled = x.select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("id"), "vector").unionByName(y.select(F.concat(F.lit("y"), F.col("id").cast("string")).alias("id"), "vector"))
     band = median_squared_distance(pooled, block_size)
 
     def kernel(d2: np.ndarray, same: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"s": [np.exp(-d2 / band).sum()], "n": [float(d2.size)]})
+        return pd.DataFrame({"s": [np.exp(-d2 / (2 * band)).sum()], "n": [float(d2.size)]})
 
     def mean(a: DataFrame, b: DataFrame) -> Column:
         return _tile_sums(a, b, kernel, "s double, n double", block_size).agg((F.sum("s") / F.sum("n")).alias("m")).scalar()

@@ -24,11 +24,11 @@ def discover(abstracts: DataFrame, gaps: DataFrame, interactions: DataFrame) ->
     table, on (gene, lower-case name).
     """
     papers = abstracts.join(gaps.select("gene"), "gene", "left_semi")
-    rows = papers.withColumn("candidate_drug", F.explode(candidate_drugs("abstract")))
-    rows = rows.withColumn("mention_context", mention_context("abstract", "candidate_drug"))
+    rows = papers.withColumn("snippet", F.substring("abstract", 1, 200)).withColumn("candidate_drug", F.explode(candidate_drugs("abstract")))
+    rows = rows.select("gene", "pmid", "snippet", "candidate_drug", mention_context("abstract", "candidate_drug").alias("mention_context"))  # no text beyond here
     known = interactions.select("gene", F.lower("drug").alias("candidate_drug")).distinct().withColumn("_c", F.lit(True))
     return rows.join(known, ["gene", "candidate_drug"], "left").select(
-        "gene", "candidate_drug", "pmid", F.coalesce("_c", F.lit(False)).alias("confirmed"), "mention_context", F.substring("abstract", 1, 200).alias("snippet")
+        "gene", "candidate_drug", "pmid", F.coalesce("_c", F.lit(False)).alias("confirmed"), "mention_context", "snippet"
     )
 
 

@@ -192,11 +192,13 @@ def risk_tables(df: DataFrame, features: Sequence[str], by: Sequence[str], betas
     return cum.withColumn("ef", efron_sums(F.col("cum_s0"), F.col("e0"), F.col("d"))).select("*", "ef.*").drop("ef")
 
 
-def fit_cox(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), ridge: float = 0.0, max_rounds: int = 12, tol: float = 1e-7) -> CoxFit:
+def fit_cox(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), ridge: float = 0.0, max_rounds: int = 60, tol: float = 1e-7) -> CoxFit:
     """Newton steps on the Efron partial likelihood with penalty ridge x sum(beta^2), all groups in the same jobs.
 
     ``df``: (by, time, event, features).  One round is one aggregate by event time; the driver only sees the
-    gradient and Hessian of each group (a few numbers per gene or fold) and halves a step that does not improve.
+    gradient and Hessian of each group (a few numbers per gene or fold) and halves a step that does not improve.  A group
+    is done when its step is below ``tol`` or its likelihood no longer rises in thirteen digits, as with separated
+    events; an error tells of groups that are not done after ``max_rounds``.
     """
     by, features = list(by), list(features)
     spark, p = df.sparkSession, len(features)
@@ -235,16 +237,17 @@ def fit_cox(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), ridg
             info += 2 * ridge * np.eye(p)
             s["cov"] = np.linalg.pinv(info)
             step = s["cov"] @ grad
+            still = np.isfinite(s["ll"]) and abs(ll - s["ll"]) <= 1e-13 * (abs(ll) + 1)
             s.update(ll=ll, scale=1.0)
-            if np.max(np.abs(step)) < tol:
+            if np.max(np.abs(step)) < tol or still:
                 s["converged"] = True
             else:
                 s["step"] = step
                 s["beta"] = s["beta"] + step
                 done = False
         if done:
-            break
-    return CoxFit(spark, by, features, groups)
+            return CoxFit(spark, by, features, groups)
+    raise RuntimeError(f"Cox fits have not settled within {max_rounds} rounds: {[g for g, s in groups.items() if not s['converged']][:5]}")
 
 
 def predict_risk(df: DataFrame, fit: CoxFit, features: Sequence[str]) -> DataFrame:

@@ -45,20 +45,29 @@ def interval_lookup(points: DataFrame, intervals: DataFrame, chrom: str, pos: st
     return points.join(hits, [chrom, pos], "left")
 
 
+def _info_value(key: str) -> Column:
+    """Value of the last ``key=value`` token of the array column ``info``; null without one."""
+    own = F.filter("info", lambda t: F.startswith(t, F.lit(f"{key}=")))
+    return F.substring(F.try_element_at(own, F.lit(-1)), len(key) + 2, 1 << 30)
+
+
 def parse_vcf(lines: DataFrame, known_genes: DataFrame, loci: DataFrame, bin_width: int = 100_000) -> DataFrame:
-    """``lines`` (file, value) -> variant rows; header lines and short records are skipped."""
+    """``lines`` (file, value) -> variant rows; header lines, short records and records without a numeric position are skipped.
+
+    Of a repeated INFO key the last value counts; a depth or frequency that is no number counts as missing.
+    """
     body = lines.where(~F.col("value").startswith("#")).withColumn("c", F.split("value", "\t")).where(F.size("c") >= 8)
-    info = F.str_to_map(F.col("c")[7], F.lit(";"), F.lit("="))
+    info = F.split(F.col("c")[7], ";")
     rows = body.select(
-        "file", F.col("c")[0].alias("chrom"), F.col("c")[1].cast("long").alias("pos"), F.col("c")[2].alias("variant_id"), F.col("c")[3].alias("ref"),
+        "file", F.col("c")[0].alias("chrom"), F.col("c")[1].try_cast("long").alias("pos"), F.col("c")[2].alias("variant_id"), F.col("c")[3].alias("ref"),
         F.col("c")[4].alias("alt"), F.col("c")[5].alias("qual"), F.col("c")[6].alias("filter_status"), info.alias("info"),
     )
     rows = rows.select(
-        *[c for c in rows.columns if c != "info"], F.element_at("info", "GENE").alias("tag"),
-        F.coalesce(F.element_at("info", "EFFECT"), F.lit("unknown")).alias("effect"),
-        F.coalesce(F.element_at("info", "DP").cast("int"), F.lit(0)).alias("depth"),
-        F.coalesce(F.element_at("info", "AF").cast("double"), F.lit(0.0)).alias("allele_freq"),
-    )
+        *[c for c in rows.columns if c != "info"], _info_value("GENE").alias("tag"),
+        F.coalesce(_info_value("EFFECT"), F.lit("unknown")).alias("effect"),
+        F.coalesce(_info_value("DP").try_cast("int"), F.lit(0)).alias("depth"),
+        F.coalesce(_info_value("AF").try_cast("double"), F.lit(0.0)).alias("allele_freq"),
+    ).where("pos is not null")
     rows = interval_lookup(rows, loci, "chrom", "pos", bin_width)
     rows = rows.withColumn("gene", F.coalesce("tag", "interval_gene", F.lit("UNKNOWN"))).drop("tag", "interval_gene")
     known = known_genes.select("gene").distinct().withColumn("is_kinase", F.lit(True))
@@ -83,6 +92,7 @@ def pathway_redundancy(affected: DataFrame, gene_pathways: DataFrame, patient: s
     )
 
 
+# The labels of the three risk levels.
 def risk_label(score: Column) -> Column:
     return (
         F.when(score >= 0.6, "HIGH BYPASS RISK — combination therapy strongly recommended")
@@ -117,7 +127,7 @@ def bypass_risk(affected: DataFrame, gene_pathways: DataFrame, resistance: DataF
 def combination_suggestions(
     affected: DataFrame, gene_pathways: DataFrame, relevance: DataFrame, inhibitors: DataFrame, patient: str = "patient"
 ) -> DataFrame:
-    """Affected gene pairs sharing a pathway, once per pair (first pathway), with up to two drugs a side.
+    """Affected gene pairs sharing a pathway, once per pair (first pathway in table order), with up to two drugs a side.
 
     The pair table is built from the knowledge tables; a patient keeps the pairs whose genes are both affected.
     ``inhibitors``: (gene, drug, ord, approved); ``gene_pathways`` needs ord; ``relevance``: (gene, tnbc_relevance).
@@ -125,9 +135,9 @@ def combination_suggestions(
     gp = gene_pathways.select("gene", "pathway", "ord").distinct()
     members = gp.groupBy("pathway").agg(F.array_sort(F.collect_set("gene")).alias("m"))
     pairs = gp.join(members, "pathway").select(
-        F.col("gene").alias("gene_1"), "pathway", F.explode(F.filter("m", lambda g: g > F.col("gene"))).alias("gene_2")
+        F.col("gene").alias("gene_1"), "pathway", "ord", F.explode(F.filter("m", lambda g: g > F.col("gene"))).alias("gene_2")
     )
-    pairs = pairs.groupBy("gene_1", "gene_2").agg(F.min("pathway").alias("pathway"))
+    pairs = pairs.groupBy("gene_1", "gene_2").agg(F.min_by("pathway", F.struct("ord", "pathway")).alias("pathway"))
     drugs = inhibitors.groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("ord", "drug", "approved"))).alias("d"))
     approved = F.filter("d", lambda s: s.getField("approved"))
     pick = F.transform(F.slice(F.when(F.size(approved) > 0, approved).otherwise(F.col("d")), 1, 2), lambda s: s.getField("drug"))

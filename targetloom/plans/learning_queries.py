@@ -212,7 +212,7 @@ def _(x: Inputs) -> DataFrame:
 @query(
     "k32_kernel_mmd",
     f"""WITH {_E}, d AS (SELECT a.vec_id AS i, b.vec_id AS j, a.h AS ha, b.h AS hb, CASE WHEN a.vec_id = b.vec_id THEN 0.0 ELSE pow(list_distance(a.v, b.v), 2) END AS d2 FROM e a CROSS JOIN e b),
-        s AS (SELECT quantile_cont(d2, 0.5) AS bw FROM d WHERE d2 > 0), k AS (SELECT ha, hb, avg(exp(-d2 / bw)) AS m FROM d CROSS JOIN s GROUP BY 1, 2)
+        s AS (SELECT quantile_cont(d2, 0.5) AS bw FROM d WHERE d2 > 0), k AS (SELECT ha, hb, avg(exp(-d2 / (2 * bw))) AS m FROM d CROSS JOIN s GROUP BY 1, 2)
         SELECT round(max(CASE WHEN ha AND hb THEN m END) + max(CASE WHEN NOT ha AND NOT hb THEN m END) - 2 * max(CASE WHEN ha AND NOT hb THEN m END), 6) AS mmd2, round((SELECT bw FROM s), 6) AS bandwidth FROM k""",
 )
 def _(x: Inputs) -> DataFrame:

@@ -304,7 +304,7 @@ def _(x: Inputs) -> DataFrame:
             inh AS (SELECT kinase_id AS gene, drug, row_number() OVER (PARTITION BY kinase_id ORDER BY ord, drug) AS o, length(drug) % 2 = 0 AS approved FROM drug_targets),
             pick AS (SELECT gene, CASE WHEN bool_or(approved) THEN array_to_string(list_slice(list(drug ORDER BY o) FILTER (approved), 1, 2), ',')
                                        ELSE array_to_string(list_slice(list(drug ORDER BY o), 1, 2), ',') END AS ds FROM inh GROUP BY gene),
-            prs AS (SELECT a.gene AS g1, b.gene AS g2, min(a.pathway) AS pw FROM gene_pathways a JOIN gene_pathways b ON a.pathway = b.pathway AND a.gene < b.gene GROUP BY 1, 2)
+            prs AS (SELECT a.gene AS g1, b.gene AS g2, min_by(a.pathway, (length(a.pathway), a.pathway)) AS pw FROM gene_pathways a JOIN gene_pathways b ON a.pathway = b.pathway AND a.gene < b.gene GROUP BY 1, 2)
        SELECT x.patient, g1 AS gene_1, g2 AS gene_2, pw AS shared_pathway, p1.ds AS suggested_drugs_1, p2.ds AS suggested_drugs_2,
               CASE WHEN r1.lv + r2.lv >= 5 THEN 'strong' WHEN r1.lv + r2.lv >= 3 THEN 'moderate' ELSE 'limited' END AS evidence_strength
        FROM patient_genes x JOIN patient_genes y ON x.patient = y.patient AND x.gene < y.gene JOIN prs ON g1 = x.gene AND g2 = y.gene
@@ -314,7 +314,7 @@ def _(x: Inputs) -> DataFrame:
     left = F.sum("p_size") % 3
     rel = x.part.groupBy(F.col("p_brand").alias("gene")).agg(F.when(left == 0, "high").when(left == 1, "moderate").otherwise("low").alias("tnbc_relevance"))
     inh = x.drug_targets.select(F.col("kinase_id").alias("gene"), "drug", "ord", (F.length("drug") % 2 == 0).alias("approved"))
-    return V.combination_suggestions(x.patient_genes, x.gene_pathways.withColumn("ord", F.lit(0)), rel, inh)
+    return V.combination_suggestions(x.patient_genes, x.gene_pathways.withColumn("ord", F.length("pathway")), rel, inh)
 
 
 _VCF_SQL = """vcf AS (SELECT CAST(l_suppkey AS VARCHAR) AS file, CAST(l_linenumber AS VARCHAR) AS chrom, CAST(l_extendedprice * 100 AS BIGINT) AS pos,
