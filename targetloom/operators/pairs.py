@@ -7,6 +7,7 @@ matrices per batch of samples: a sample contributes one row to the shuffle, not
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
-def unordered_pairs(df: DataFrame, key: str, blocks: int = 8, left: str = "_1", right: str = "_2") -> DataFrame:
+def unordered_pairs(df: DataFrame, key: str, blocks: int | None = None, left: str = "_1", right: str = "_2") -> DataFrame:
     """Every pair of rows with key_left < key_right; columns get the two suffixes.
 
-    A row is copied once per block; two rows meet only in the cell of their own two blocks.
+    A row is copied once per block; two rows meet only in the cell of their own two blocks.  There are at least as many
+    cells as shuffle partitions unless ``blocks`` says otherwise.
     """
+    blocks = blocks or max(8, math.isqrt(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1)
     cells = df.withColumn("_b", F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")).withColumn(
         "_k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
@@ -134,9 +137,10 @@ def packed_blocks(df: DataFrame, key: str, block_size: int = 1000) -> tuple[Data
     return packed, blocks
 
 
-def block_tiles(left: DataFrame, right: DataFrame, right_blocks: int, split: int = 64) -> DataFrame:
-    """One row per (left block, right block): an equi-join on the right block id, spread over ``split`` tasks or more."""
+def block_tiles(left: DataFrame, right: DataFrame, right_blocks: int) -> DataFrame:
+    """One row per (left block, right block): an equi-join on the right block id, spread over four tasks per shuffle partition."""
     a = left.select(F.col("block").alias("block_a"), F.col("rows").alias("rows_a"), F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1))).alias("block_b"))
     b = right.select(F.col("block").alias("block_b"), F.col("rows").alias("rows_b"))
     tiles = a.join(b, "block_b")
-    return tiles.repartition(min(split, 4 * right_blocks * right_blocks), "block_a", "block_b") if right_blocks > 1 else tiles
+    tasks = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(min(tasks, 4 * right_blocks * right_blocks), "block_a", "block_b") if right_blocks > 1 else tiles

@@ -1,9 +1,9 @@
 """Running totals and ranks that never sort a whole table in one task.
 
 A window without a partition key moves every row to one task.  Here the rows are first pre-aggregated to one row
-per distinct value, the values are cut into ranges at approximate quantiles, a window runs inside each range, and
-the totals of the earlier ranges (one row per range) are added as an offset.  The result is exact; the quantiles
-only decide how evenly the work is spread.
+per distinct value, the values are range-partitioned in their own type, a window runs inside each range, and
+the totals of the earlier ranges (one row per range) are added as an offset.  The result is exact; the
+sampled range bounds only decide how evenly the work is spread.
 """
 
 from __future__ import annotations
@@ -14,9 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from targetloom.session import cut_lineage
 
-DEFAULT_RANGES = 32
-
-
 _FOLDS = {
     "sum": (F.sum, lambda here, before: here + F.coalesce(before, F.lit(0))),
     "min": (F.min, lambda here, before: F.least(here, before)),
@@ -30,28 +27,27 @@ def running(
     cols: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-    ranges: int = DEFAULT_RANGES,
+    ranges: int | None = None,
     how: str = "sum",
 ) -> DataFrame:
     """Add ``cum_<c>``: inclusive running sum, min or max of each column along ``order`` within ``by``.
 
-    ``per_value`` holds one row per (by, order) value, so ties are already merged.
+    ``per_value`` holds one row per (by, order) value, so ties are already merged; ``order`` is of any type that sorts.
+    There are ``ranges`` ranges, by default as many as shuffle partitions; the result does not depend on it.  The ranged
+    rows are written once (so this runs a job), as the range of a row must not change between the two reads below.
     """
     by = list(by)
     fold, combine = _FOLDS[how]
+    ranges = ranges or max(2, int(per_value.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    along = F.col(order).desc() if descending else F.col(order).asc()
     if ranges > 1:
-        per_value = cut_lineage(per_value)  # read three times below: cuts, range totals, rows
-    keyed = per_value.withColumn("_v", F.col(order).cast("double") * F.lit(-1.0 if descending else 1.0))
-    if ranges > 1:
-        steps = [i / ranges for i in range(1, ranges)]
-        cuts = keyed.agg(F.percentile_approx("_v", steps, 2000).alias("c")).scalar()
-        keyed = keyed.withColumn("_cuts", cuts).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+        keyed = cut_lineage(per_value.repartitionByRange(ranges, along).withColumn("_range", F.spark_partition_id()))
     else:
-        keyed = keyed.withColumn("_range", F.lit(0))
-    inside = Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        keyed = per_value.withColumn("_range", F.lit(0))
+    inside = Window.partitionBy(*by, "_range").orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
     local = keyed.select("*", *[fold(c).over(inside).alias(f"cum_{c}") for c in cols])
     if ranges == 1:
-        return local.drop("_v", "_range")
+        return local.drop("_range")
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = keyed.groupBy(*by, "_range").agg(*[fold(c).alias(f"_t_{c}") for c in cols])
     offsets = totals.select(
@@ -67,7 +63,7 @@ def running(
 
 
 def running_sums(
-    per_value: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, ranges: int = DEFAULT_RANGES
+    per_value: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, ranges: int | None = None
 ) -> DataFrame:
     return running(per_value, order, sums, by, descending, ranges, "sum")
 
@@ -82,7 +78,7 @@ def average_ranks(
     by: Sequence[str] = (),
     out: str = "rank",
     descending: bool = False,
-    ranges: int = DEFAULT_RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Average rank of ties (1-based), for groups of any size."""
     counts = running_sums(value_counts(df, value, by), value, ["n_at"], by, descending, ranges)
@@ -98,14 +94,14 @@ def ranks_within(df: DataFrame, value: str, by: Sequence[str], out: str = "rank"
     return df.withColumn(out, first + (ties - 1) / 2.0)
 
 
-def dense_positions(df: DataFrame, key: str, by: Sequence[str] = (), out: str = "pos", ranges: int = DEFAULT_RANGES) -> DataFrame:
+def dense_positions(df: DataFrame, key: str, by: Sequence[str] = (), out: str = "pos", ranges: int | None = None) -> DataFrame:
     """1-based position of each distinct numeric ``key``; equal keys share a position."""
     distinct = df.select(*by, key).distinct().withColumn("one", F.lit(1))
     pos = running_sums(distinct, key, ["one"], by, ranges=ranges).select(*by, key, F.col("cum_one").alias(out))
     return df.join(pos, [*by, key], "inner")
 
 
-def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (), ranges: int = DEFAULT_RANGES) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """(by..., q, quantile) with linear interpolation between order statistics; nulls are ignored.
 
     Works on distinct values with their counts, so neither a large group nor a hot value lands in one task.
@@ -130,11 +126,11 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
     return picked.select(*by, "q", (F.col("_a") + (F.col("_b") - F.col("_a")) * frac).alias("quantile"))
 
 
-def medians(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median", ranges: int = DEFAULT_RANGES) -> DataFrame:
+def medians(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median", ranges: int | None = None) -> DataFrame:
     return exact_quantiles(df, value, [0.5], by, ranges).select(*by, F.col("quantile").alias(out))
 
 
-def row_positions(df: DataFrame, value: str, tie: Sequence[str], by: Sequence[str] = (), out: str = "pos", ranges: int = DEFAULT_RANGES) -> DataFrame:
+def row_positions(df: DataFrame, value: str, tie: Sequence[str], by: Sequence[str] = (), out: str = "pos", ranges: int | None = None) -> DataFrame:
     """Distinct 1-based positions 1..n per group, ordered by value and then by ``tie``.
 
     Meant for values with few ties (hash draws): only rows that share a value are numbered by a window.

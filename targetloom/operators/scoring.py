@@ -127,7 +127,7 @@ def entity_attributes(scores: DataFrame, community: DataFrame) -> DataFrame:
     return scores.select("kinase_id", "target_score").join(community.select("kinase_id", "community"), "kinase_id", "left")
 
 
-def entity_pairs(scores: DataFrame, community: DataFrame, edges: DataFrame, edges2: DataFrame | None = None, blocks: int = 8) -> DataFrame:
+def entity_pairs(scores: DataFrame, community: DataFrame, edges: DataFrame, edges2: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
     """All unordered panel pairs with the terms of the pair score."""
     pairs = unordered_pairs(entity_attributes(scores, community), "kinase_id", blocks)
     out = with_crosstalk(pairs, "kinase_id_1", "kinase_id_2", edges, ("source", "target", "weight"), "xtalk")
@@ -180,7 +180,7 @@ def drug_panels(targets: DataFrame, scores: DataFrame, community: DataFrame) ->
 
 
 def target_pair_rows(
-    targets: DataFrame, scores: DataFrame, community: DataFrame, edges: DataFrame, edges2: DataFrame | None = None, blocks: int = 8
+    targets: DataFrame, scores: DataFrame, community: DataFrame, edges: DataFrame, edges2: DataFrame | None = None, blocks: int | None = None
 ) -> DataFrame:
     """Every drug pair crossed with its target pairs, with the pair-score terms attached."""
     pairs = unordered_pairs(drug_panels(targets, scores, community), "drug", blocks)

@@ -188,7 +188,7 @@ def risk_tables(df: DataFrame, features: Sequence[str], by: Sequence[str], betas
     aggs += [F.sum(F.col(f) * ev).alias(f"x_{i}") for i, f in enumerate(features)]
     aggs += [F.sum(ev).alias("d"), F.sum(_linear(features) * ev).alias("lp")]
     per = rows.groupBy(*by, "time").agg(*aggs)
-    cum = running_sums(per, "time", list(terms), by, descending=True, ranges=16 if not by else 8).where(F.col("d") > 0)
+    cum = running_sums(per, "time", list(terms), by, descending=True).where(F.col("d") > 0)
     return cum.withColumn("ef", efron_sums(F.col("cum_s0"), F.col("e0"), F.col("d"))).select("*", "ef.*").drop("ef")
 
 
@@ -265,7 +265,7 @@ def proportional_hazards(df: DataFrame, fit: CoxFit, features: Sequence[str], by
     df = df.select(*by, "time", "event", *features).dropna()
     t = risk_tables(df, features, by, fit.betas(types))
     t = t.select(*by, "time", "d", *[(F.col(f"x_{i}") - F.col("d") * F.col(f"cum_s1_{i}") / F.col("cum_s0")).alias(f"r{i}") for i in range(len(features))])
-    ranked = running_sums(t, "time", ["d"], by, ranges=8).withColumn("rk", F.col("cum_d") - (F.col("d") - 1) / 2.0)
+    ranked = running_sums(t, "time", ["d"], by).withColumn("rk", F.col("cum_d") - (F.col("d") - 1) / 2.0)
     mean = ranked.groupBy(*by).agg((F.sum(F.col("rk") * F.col("d")) / F.sum("d")).alias("_m"), F.sum("d").alias("n_events"))
     j = ranked.join(mean, by)
     dev = F.col("rk") - F.col("_m")
