@@ -41,7 +41,7 @@ class Encoder:
             self.width[i] = len(token.content.encode())
 
     def ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without character offsets
 
     def learn(self, known: dict[str, bytes], cuts: list[str], lead: str) -> None:
         """Encode unknown cuts that start with white space (``lead`` or their own) and end without it, many in one text."""
@@ -68,13 +68,16 @@ class Encoder:
                 known, lead = self.words, " "
                 head, *middle = text.split(" ")
                 tail = " " + middle.pop() if middle else ""
-            try:
-                body = b"".join([known[c] for c in middle])
-            except KeyError:
+            ids = list(map(known.get, middle))
+            if None in ids:
                 if len(known) > CACHE_WORDS:
                     known.clear()
-                self.learn(known, [c for c in dict.fromkeys(middle) if c not in known], lead)
-                body = b"".join([known[c] for c in middle])
+                    ids = [None] * len(ids)
+                missing = [i for i, x in enumerate(ids) if x is None]
+                self.learn(known, list(dict.fromkeys([middle[i] for i in missing])), lead)
+                for i in missing:
+                    ids[i] = known[middle[i]]
+            body = b"".join(ids)
             yield self._single(head) + body + self._single(tail)
 
     def _single(self, cut: str) -> bytes:

@@ -191,13 +191,16 @@ class PieceCodec:
         """Ids with begin and end id, as little-endian unsigned 32-bit bytes; null counts as the empty text."""
         words = self.split(text or "")
         known = self.words
-        try:
-            body = b"".join([known[w] for w in words])
-        except KeyError:
+        ids = list(map(known.get, words))
+        if None in ids:
             if len(known) > CACHE_WORDS:
                 known.clear()
-            self.learn([w for w in dict.fromkeys(words) if w not in known])
-            body = b"".join([known[w] for w in words])
+                ids = [None] * len(ids)
+            missing = [i for i, x in enumerate(ids) if x is None]
+            self.learn(list(dict.fromkeys([words[i] for i in missing])))
+            for i in missing:
+                ids[i] = known[words[i]]
+        body = b"".join(ids)
         return np.array([self.begin], "<u4").tobytes() + body + np.array([self.end], "<u4").tobytes()
 
     def split(self, text: str) -> list[str]:

@@ -27,7 +27,7 @@ from targetloom.session import cut_lineage
 
 SHINGLE = 4
 PERCENT = 85
-SLACK_PERCENT = 7  # prefixes are longer than needed by this share, and must share so many tokens more
+SLACK_PERCENT = 20  # prefixes are longer than needed by this share, and must share so many tokens more
 BLOCK = 512
 BLOCK_TOKENS = 1 << 20
 
@@ -155,15 +155,17 @@ def _placed(rows: DataFrame, percent: int, size: int, block: int) -> DataFrame:
         n, d1, d2 = digests(text, token, len(texts))
         return {"row": np.arange(len(texts)), "n": n.astype(np.int64), "d1": d1, "d2": d2}
 
+    measured = cut_lineage(anchors.over_texts(rows, "n long, d1 long, d2 long", measure))
+    mask = _token_mask(measured)
+
     def prefixes(texts: list[bytes], first: int, batch: pa.RecordBatch) -> dict:
         text, token = shingle_sets(words_of(texts, lower=True), size)
         n = np.bincount(text, minlength=len(texts))
         length = np.minimum(n, n - least_overlap(n, percent) + slack(n))
         place = np.arange(len(text)) - np.searchsorted(text, np.arange(len(texts)))[text]
         some = place < length[text]
-        return {"row": text[some], "token": signed(token[some])}
+        return {"row": text[some], "token": signed(token[some]) & mask}
 
-    measured = cut_lineage(anchors.over_texts(rows, "n long, d1 long, d2 long", measure))
     # first order: prefixes by ascending hash; a document must share so many tokens as any partner would
     shared = anchors.over_texts(rows, "token long", prefixes, carry=()).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * SLACK_PERCENT / 100)
@@ -185,7 +187,7 @@ def _placed(rows: DataFrame, percent: int, size: int, block: int) -> DataFrame:
     once = found.groupBy("d1", "d2", "n").agg(F.first("tokens").alias("tokens"))
     sets = cut_lineage(once.withColumn("class", F.monotonically_increasing_id()))
 
-    edges = _cluster_edges(sets.select("class", "n", "tokens"), percent)
+    edges = _cluster_edges(sets.select("class", "n", "tokens"), percent, mask)
     links = _verified(sets.select("class", "n", "tokens"), edges, percent, block)
     labels = component_labels(links)
     named = sets.select("class", "d1", "d2").join(labels, F.col("class") == F.col("node")).select("d1", "d2", "label")
@@ -197,16 +199,26 @@ def _placed(rows: DataFrame, percent: int, size: int, block: int) -> DataFrame:
     return placed.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).cast(id_type).alias("component_id"))
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            token = np.frombuffer(batch.column("tokens")[i].as_py(), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), batch.column("class")[i].as_py()))], ["token", "class"])
+def _token_mask(measured: DataFrame) -> int:
+    """Low bits that tell the tokens of this corpus apart well enough for filters, about one clash in 32 tokens.
+
+    Filters only ask whether tokens may be equal, so a clash lets a document through and loses none; fewer bits make the
+    shuffles smaller.  Verification takes all 64.
+    """
+    total = measured.agg(F.sum("n")).first()[0] or 1
+    return (1 << min(63, int(total).bit_length() + 5)) - 1
 
 
-def _cluster_edges(sets: DataFrame, percent: int) -> DataFrame:
+def _cluster_edges(sets: DataFrame, percent: int, mask: int) -> DataFrame:
     """(u, v) from each set to the first set of each token in its rarity prefix."""
-    tokens = sets.mapInArrow(_exploded, "token long, class long")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                token = np.frombuffer(batch.column("tokens")[i].as_py(), dtype=np.int64) & mask
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), batch.column("class")[i].as_py()))], ["token", "class"])
+
+    tokens = sets.mapInArrow(explode, "token long, class long")
     df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("first"))
     common = tokens.join(df.where("df > 1"), "token")
     # the rarity prefix: tokens of one set alone come first and use it up, the others follow by (df, token)

@@ -35,21 +35,29 @@ HEAD = struct.Struct("<IIIBBxx")
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
-    """``values`` (uint64) at ``width`` bits each, lowest bit first."""
+    """``values`` at ``width`` <= 32 bits each, lowest bit first."""
     if width == 0 or not len(values):
         return b""
-    bits = ((values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+    if width % 8 == 0 and width != 24:
+        return values.astype(f"<u{width // 8}").tobytes()
+    narrow = values.astype("<u4")
+    bits = np.unpackbits(narrow.view(np.uint8).reshape(len(values), -1)[:, : (width + 7) // 8], axis=1, bitorder="little")
+    return np.packbits(bits[:, :width], bitorder="little").tobytes()
 
 
 def unpack_bits(raw: bytes, count: int, width: int) -> np.ndarray:
+    """``count`` values of ``width`` <= 32 bits."""
     if width == 0 or not count:
         return np.zeros(count, dtype=np.uint64)
-    bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=count * width, bitorder="little").reshape(count, width)
-    padded = np.zeros((count, 32 if width <= 32 else 64), dtype=np.uint8)
-    padded[:, :width] = bits
-    packed = np.packbits(padded, axis=1, bitorder="little")
-    return packed.view("<u4" if width <= 32 else "<u8").ravel().astype(np.uint64)
+    if width % 8 == 0 and width != 24:
+        return np.frombuffer(raw, dtype=f"<u{width // 8}", count=count).astype(np.uint64)
+    padded = np.frombuffer(raw[: packed_size(count, width)] + bytes(8), dtype=np.uint8).astype(np.uint64)
+    bit = np.arange(count) * width
+    byte = bit >> 3
+    out = padded[byte]
+    for i in range(1, (width + 14) // 8):  # the further bytes that a value may reach into
+        out |= padded[byte + i] << np.uint64(8 * i)
+    return (out >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
 
 
 def packed_size(count: int, width: int) -> int:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CHUNK_BYTES = 2 << 20  # texts are worked on together up to this size; a longer text is a chunk by itself
+CHUNK_BYTES = 512 << 10  # texts are worked on together up to this size; a longer text is a chunk by itself
 _SEEDS = np.random.default_rng(20240607)
 _BYTE_VALUES = _SEEDS.integers(1, 1 << 63, size=(2, 256), dtype=np.int64).astype(np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
