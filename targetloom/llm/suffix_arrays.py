@@ -27,41 +27,32 @@ SHARD_ZONES = 2000
 
 
 def suffix_array(codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in order, rank of each) of ``codes`` (small integers); ``left`` counts what is left of each zone.
+    """(suffixes in order, rank of each) of ``codes`` (bytes); ``left`` counts what is left of each zone.
 
-    Suffixes end at their zone's end and differ there.  Larsson-Sadakane: known order doubles per round, and only
-    suffixes in groups of more than one are sorted again.
+    Suffixes end at their zone's end; of equal ones the later comes first.  Larsson-Sadakane: the known order doubles per
+    round, and only suffixes that still share a group are sorted again, by the group of what follows.
     """
     n = len(codes)
     key = np.zeros(n, dtype=np.uint64)
-    for i in range(8):  # the first eight symbols at once; past the end of the zone there is none
-        step = np.zeros(n, dtype=np.uint64)
-        step[: max(0, n - i)] = codes[i:]
-        key = (key << np.uint64(8)) | np.where(left > i, step, np.uint64(0))
-    short = np.where(left < 8, n - np.arange(n), 0)  # these end within eight symbols: each is a group by itself
-    order = np.lexsort((short, np.minimum(left, 8), key))
-    new = np.ones(n, dtype=bool)
-    new[1:] = (key[order][1:] != key[order][:-1]) | (short[order][1:] != short[order][:-1]) | (np.minimum(left, 8)[order][1:] != np.minimum(left, 8)[order][:-1])
-    heads = np.flatnonzero(new)
+    for i in range(7):  # seven symbols of nine bits at once; 0 is the end of the zone
+        key <<= np.uint64(9)
+        key[: max(0, n - i)] += np.where(left[: max(0, n - i)] > i, codes[i:].astype(np.uint64) + np.uint64(1), np.uint64(0))
+    order = np.argsort(key)
     rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
-    done = 8
+    places, keys, done = np.arange(n), key[order], 7
     while True:
-        sizes = np.diff(np.append(heads, n))
-        open_places = np.flatnonzero(np.repeat(sizes > 1, sizes))
-        if not len(open_places):
+        fresh = np.ones(len(places), dtype=bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        rank[order[places]] = np.maximum.accumulate(np.where(fresh, places, 0))
+        sizes = np.diff(np.append(np.flatnonzero(fresh), len(places)))
+        places = places[np.repeat(sizes > 1, sizes)]
+        if not len(places):
             return order, rank
-        some = order[open_places]
-        here, there = rank[some], np.where(left[some] > done, rank[np.minimum(some + done, n - 1)], -1 - some)
-        again = np.lexsort((there, here))
-        order[open_places] = some[again]
-        here, there = here[again], there[again]
-        fresh = np.ones(len(some), dtype=bool)
-        fresh[1:] = (here[1:] != here[:-1]) | (there[1:] != there[:-1])
-        new[open_places] = fresh
-        heads = np.flatnonzero(new)
-        sizes = np.diff(np.append(heads, n))
-        rank[order] = np.repeat(heads, sizes)
+        some = order[places]
+        following = np.where(left[some] > done, n + rank[np.minimum(some + done, n - 1)], n - 1 - some)
+        keys = rank[some] * (2 * n) + following
+        again = np.argsort(keys)
+        order[places], keys = some[again], keys[again]
         done *= 2
 
 
@@ -164,12 +155,11 @@ def removable_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, shar
     shards_rows = texts.repartition(tasks, "h", "salt").sortWithinPartitions("h", "salt")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sorted_shards = cut_lineage(shards_rows.mapInArrow(
-        _shard_sorter(window, shard_zones), f"doc_id {id_type}, th int, low int, h long, part int, keys binary, places array<struct<doc_id:{id_type},th:int,low:int>>"
+        _shard_sorter(window, shard_zones), f"doc_id {id_type}, th int, a int, b int, h long, part int, keys binary, places array<struct<doc_id:{id_type},th:int,a:int>>"
     ))
-    inside = sorted_shards.where("part is null").select("doc_id", "th", F.col("low").alias("a"))
-    merged = sorted_shards.where("part is not null").groupBy("h", "part").applyInArrow(_merge_shards, f"doc_id {id_type}, th int, low int")
-    repeats = inside.unionByName(merged.select("doc_id", "th", F.col("low").alias("a")))
-    return certain.unionByName(repeats.withColumn("b", F.col("a") + window))
+    inside = sorted_shards.where("part is null").select("doc_id", "th", "a", "b")
+    merged = sorted_shards.where("part is not null").groupBy("h", "part").applyInArrow(_merge_shards, f"doc_id {id_type}, th int, a int")
+    return certain.unionByName(inside).unionByName(merged.withColumn("b", F.col("a") + window))
 
 
 def _shard_sorter(window: int, shard_zones: int):
@@ -184,9 +174,13 @@ def _shard_sorter(window: int, shard_zones: int):
 
         def place(i: int) -> dict:
             r = held[zone[i]]
-            return {"doc_id": r["doc_id"], "th": r["th"], "low": r["low"] + int(start[i])}
+            return {"doc_id": r["doc_id"], "th": r["th"], "a": r["low"] + int(start[i])}
 
-        rows = [place(i) for i in np.flatnonzero(repeat & ~settled[zone]).tolist()]
+        gone = np.flatnonzero(repeat & ~settled[zone])  # windows of one zone that follow each other make one span
+        gone = gone[np.lexsort((start[gone], zone[gone]))]
+        heads = np.flatnonzero(np.append(True, (np.diff(zone[gone]) != 0) | (np.diff(start[gone]) != 1))[: len(gone)])
+        lasts = np.append(heads[1:], len(gone))[: len(heads)] - 1
+        rows = [place(i) | {"b": held[zone[i]]["low"] + int(start[j]) + window} for i, j in zip(gone[heads].tolist(), gone[lasts].tolist())]
         # anchors dealt over shards: every distinct window goes on, with its place if it is still alone
         lone = np.flatnonzero(split[zone])
         lone = lone[np.unique(group[lone], return_index=True)[1]]
@@ -199,8 +193,8 @@ def _shard_sorter(window: int, shard_zones: int):
         for (h, part), found in runs.items():
             found.sort(key=lambda x: x[0])
             rows.append({"h": h, "part": part, "keys": b"".join(k for k, _ in found), "places": [p for _, p in found]})
-        at = pa.struct([("doc_id", id_type), ("th", pa.int32()), ("low", pa.int32())])
-        schema = pa.schema([*at, ("h", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("places", pa.list_(at))])
+        at = pa.struct([("doc_id", id_type), ("th", pa.int32()), ("a", pa.int32())])
+        schema = pa.schema([*at, ("b", pa.int32()), ("h", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("places", pa.list_(at))])
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
