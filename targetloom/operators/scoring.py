@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from targetloom.functions.numeric import null_skipping_mean
+from targetloom.functions.text import is_junk_drug_name
 from targetloom.operators.pairs import co_occurrence, unordered_pairs
 
 # Term weights of the published scores.
@@ -23,6 +24,27 @@ CENTRALITY_COLUMNS = ("betweenness", "pagerank", "degree")
 DRUG_COLUMNS = ("dgidb_score", "chembl_count", "trial_stage")
 
 
+def druggability(interactions: DataFrame, entity: str = "kinase_id") -> DataFrame:
+    """(entity, dgidb_score, dgidb_score_count): mean score and distinct drugs of the rows whose drug name is no junk."""
+    real = interactions.where(~F.coalesce(is_junk_drug_name("drug"), F.lit(False)))
+    return real.groupBy(entity).agg(F.avg("interaction_score").alias("dgidb_score"), F.countDistinct("drug").alias("dgidb_score_count"))
+
+
+def assemble_entities(
+    panel: DataFrame, essentiality: DataFrame, survival: DataFrame, centrality: DataFrame, interactions: DataFrame, entity: str = "kinase_id"
+) -> DataFrame:
+    """One row per panel entity with the evidence of four tables and the drug table; what a table lacks stays null.
+
+    ``essentiality`` has mean_depmap_score, ``survival`` cox_hr and logrank_p, ``centrality`` betweenness, pagerank and
+    degree, ``interactions`` drug and interaction_score.  Both druggability aggregates are kept.
+    """
+    out = panel.select(entity).distinct()
+    out = out.join(essentiality.select(entity, F.col("mean_depmap_score").alias("depmap_score")), entity, "left")
+    out = out.join(survival.select(entity, "cox_hr", "logrank_p"), entity, "left")
+    out = out.join(centrality.select(entity, *CENTRALITY_COLUMNS), entity, "left")
+    return out.join(druggability(interactions, entity), entity, "left")
+
+
 def with_min_max(df: DataFrame, exprs: Mapping[str, Column], lower_is_better: Sequence[str] = ()) -> DataFrame:
     """Add ``<name>_unit``: min-max scaled over all rows.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from targetloom.functions.numeric import r6
+from targetloom.functions.text import JUNK_PHRASES
 from targetloom.operators import scoring as S
 from targetloom.plans.registry import query
-from targetloom.plans.roles import Inputs
+from targetloom.plans.roles import ROLE_SQL, Inputs
 from targetloom.session import cut_lineage
 
 TERMS = ("centrality_norm", "essentiality_norm", "survival_norm", "druggability_norm")
@@ -129,6 +130,36 @@ def _(x: Inputs) -> DataFrame:
     )
 
 
+_JUNK = JUNK_PHRASES[0]
+# every ninth part's drug name is a junk phrase, and each source lacks some of the panel
+ROLE_SQL["landed_interactions"] = f"""
+    SELECT p_brand AS kinase_id, CASE WHEN p_size % 9 = 4 THEN '{_JUNK}' ELSE p_name END AS drug, CAST(p_retailprice AS DOUBLE) AS interaction_score
+    FROM part WHERE p_brand <> 'Brand#21'"""
+ROLE_SQL["essentiality_table"] = """
+    SELECT p_brand AS kinase_id, round(-avg(l_discount), 9) AS mean_depmap_score FROM lineitem JOIN part ON l_partkey = p_partkey
+    WHERE CAST(substr(p_brand, 7) AS INTEGER) % 7 <> 3 GROUP BY p_brand"""
+ROLE_SQL["survival_table"] = """
+    SELECT p_brand AS kinase_id, round(0.5 + avg(p_size) / 50, 9) AS cox_hr, round(avg(p_size) / 51, 9) AS logrank_p
+    FROM part WHERE CAST(substr(p_brand, 7) AS INTEGER) % 5 <> 1 GROUP BY p_brand"""
+ROLE_SQL["centrality_table"] = """
+    SELECT p_brand AS kinase_id, CAST(sum(l_quantity) AS DOUBLE) AS betweenness, CAST(count(*) AS DOUBLE) AS pagerank, CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS degree
+    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE CAST(substr(p_brand, 7) AS INTEGER) % 11 <> 0 GROUP BY p_brand"""
+
+
+@query(
+    "c01_entity_assembly",
+    f"""WITH panel AS (SELECT DISTINCT p_brand AS kinase_id FROM part),
+        drugs AS (SELECT kinase_id, avg(interaction_score) AS m, count(DISTINCT drug) AS n FROM landed_interactions WHERE drug <> '{_JUNK}' GROUP BY kinase_id)
+        SELECT panel.kinase_id, mean_depmap_score AS depmap_score, cox_hr, logrank_p, betweenness, pagerank, degree, round(m, 6) AS dgidb_score, CAST(n AS DOUBLE) AS dgidb_score_count
+        FROM panel LEFT JOIN essentiality_table USING (kinase_id) LEFT JOIN survival_table USING (kinase_id) LEFT JOIN centrality_table USING (kinase_id)
+        LEFT JOIN drugs USING (kinase_id)""",
+)
+def _(x: Inputs) -> DataFrame:
+    panel = x.part.select(F.col("p_brand").alias("kinase_id"))
+    out = S.assemble_entities(panel, x.essentiality_table, x.survival_table, x.centrality_table, x.landed_interactions)
+    return out.withColumn("dgidb_score", r6("dgidb_score")).withColumn("dgidb_score_count", F.col("dgidb_score_count").cast("double"))
+
+
 _BUILD_SQL = "round(0.30 * centrality_norm + 0.25 * essentiality_norm + 0.25 * survival_norm + 0.20 * {d}, 9)"
 
 

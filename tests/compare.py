@@ -24,7 +24,7 @@ def canonical(pdf: pd.DataFrame) -> list[tuple]:
     cols = sorted(pdf.columns)
     rows = []
     for row in pdf[cols].itertuples(index=False):
-        rows.append(tuple("<null>" if v is None or v != v or v is pd.NA else v for v in row))
+        rows.append(tuple("<null>" if v is None or v is pd.NA or v != v else v for v in row))
     return sorted(rows, key=lambda r: tuple(str(v) for v in r))
 
 
