@@ -18,7 +18,7 @@ from targetloom.llm.registry import query, table
 from targetloom.llm.wordgrid import SPACE, Words, chunks, mix, words_of
 from targetloom.session import cut_lineage
 
-SAMPLE_DOCS = 10_000
+SAMPLE_DOCS = 5_000
 SLOT_BITS = 14
 THRESHOLD = 0.5
 LABELLERS = ("symbols", "capitals", "variety", "repeats", "letterless", "word_length", "marked")
@@ -123,11 +123,11 @@ def features(words: Words, s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.nda
     return text[inside], slot[inside], binned
 
 
-def train_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 300, rate: float = 0.5, penalty: float = 1e-4) -> np.ndarray:
+def train_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, rate: float = 0.5, penalty: float = 1e-4) -> np.ndarray:
     """Logistic weights (one per slot, the last is the bias) from (slots, values, probability of good)."""
-    doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    slot = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, dtype=np.int64)
-    value = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    slot = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, dtype=np.int32)
+    value = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, dtype=np.float32)
     y = np.array([r[2] for r in rows])
     weights, seen = np.zeros((1 << SLOT_BITS) + 1), np.full((1 << SLOT_BITS) + 1, 1e-8)
     bad = max(1e-9, float((1 - y).sum()))
@@ -166,13 +166,13 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     one = words_of([texts[i]])
                     _, slot, binned = features(one, statistics(one))
                     distinct, count = np.unique(slot, return_counts=True)
-                    slots[i] = np.concatenate([distinct, binned[0]])
-                    values[i] = np.concatenate([count / max(1, count.sum()), np.full(len(LABELLERS), 0.1)]) * 10
+                    slots[i] = np.concatenate([distinct, binned[0]]).astype("<i4").tobytes()
+                    values[i] = (np.concatenate([count / max(1, count.sum()), np.full(len(LABELLERS), 0.1)]) * 10).astype("<f4").tobytes()
                 yield pd.DataFrame({"pattern": ["".join("-0+"[x + 1] for x in row) for row in v.tolist()], "slots": slots, "vals": values})
 
     key = F.pmod(F.xxhash64(id_col, F.length(text_col)), F.lit(1 << 32)) < cut
     looked = docs.select(F.col(text_col).alias("text"), F.coalesce(key, F.lit(False)).alias("sampled"))
-    seen = cut_lineage(looked.mapInPandas(look, "pattern string, slots array<int>, vals array<double>"))
+    seen = cut_lineage(looked.mapInPandas(look, "pattern string, slots binary, vals binary"))
     counted = seen.groupBy("pattern").count().collect()  # at most 3 ** labellers rows
     posterior: dict[str, float] = {}
     if counted:
@@ -181,7 +181,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         posterior = {row["pattern"]: float(p) for row, p in zip(counted, good)}
     # repeated identifiers could make the hash sample larger than its share: the bound holds all the same
     sample = seen.where("slots is not null").limit(2 * sample_docs).toLocalIterator()
-    weights = train_scorer([(np.array(r.slots), np.array(r.vals), posterior[r.pattern]) for r in sample])
+    weights = train_scorer([(np.frombuffer(r.slots, "<i4"), np.frombuffer(r.vals, "<f4"), posterior[r.pattern]) for r in sample])
     learned = docs.sparkSession.sparkContext.broadcast((weights, posterior))  # 2 ** SLOT_BITS + 3 ** labellers numbers
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
