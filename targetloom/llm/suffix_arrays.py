@@ -23,7 +23,7 @@ from targetloom.session import cut_lineage
 
 WINDOW = 200
 ANCHOR = 32
-SHARD_ZONES = 2000
+SHARD_ZONES = 8000
 
 
 def suffix_array(codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +151,7 @@ def removable_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, shar
 
     texts = anchors.over_texts(one_each, "h long, salt int, shards int, settled boolean, low int, windows int, zone binary", fetch)
     # rows that repeat identifier and text would each bring the zone: it was met once, so the document has one row
-    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # large shards: the steps over zones cost the same for many
     shards_rows = texts.repartition(tasks, "h", "salt").sortWithinPartitions("h", "salt")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sorted_shards = cut_lineage(shards_rows.mapInArrow(
