@@ -122,24 +122,33 @@ def near_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     its component is its own identifier.  Rows that repeat an identifier are rows of their own; a null identifier takes
     the smallest of its component, null if there is none.  An empty table gives no rows; other columns are not read.
     """
-    return _placed(anchors.keyed(docs, id_col, text_col), percent, size, block).drop("th")
+    return _placed(anchors.keyed(docs, id_col, text_col), percent, size, block).drop("th", "part")
 
 
 def drop_near(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component of ``near_components``: that with the smallest identifier.
 
-    Rows with an empty set stay.  Where texts of one component repeat its smallest identifier, one of those texts stays.
-    Columns are unchanged, whatever their names.
+    Components are told apart by what they hold, not by identifiers, so those without one or with the same one each keep
+    their document.  Null identifiers come last, and of one identifier's texts an arbitrary but fixed one stays; of rows
+    equal in identifier and text, any one.  Rows with an empty set stay.  Columns are unchanged, whatever their names.
     """
     placed = _placed(anchors.keyed(docs, id_col, text_col), percent, size, block)
-    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    first = placed.where(own & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.min("th").alias("th"))
-    kept = first.union(placed.where("n_shingles = 0").select("doc_id", "th").distinct()).select(F.col("doc_id").alias("_keep_id"), F.col("th").alias("_keep_th"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_keep_id")) & (F.hash(docs[text_col]) == F.col("_keep_th")), "left_semi")
+    rows = placed.where("n_shingles > 0").groupBy("part", "doc_id", "th").agg(F.count(F.lit(1)).alias("rows"))
+    first = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "rows")).alias("f"))
+    blank = placed.where("n_shingles = 0").select("doc_id", "th", F.lit(1).cast("long")).distinct()
+    kept = cut_lineage(first.select(F.col("f.doc_id").alias("_keep_id"), F.col("f.th").alias("_keep_th"), F.col("f.rows").alias("_keep_rows")).union(blank))
+    met = docs[id_col].eqNullSafe(F.col("_keep_id")) & (F.hash(docs[text_col]) == F.col("_keep_th"))
+    out = docs.join(kept.where("_keep_rows = 1"), met, "left_semi")
+    equal = kept.where("_keep_rows > 1")
+    if equal.isEmpty():
+        return out
+    whole = docs.join(equal, met).select("_keep_id", "_keep_th", F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
+    one = whole.groupBy("_keep_id", "_keep_th").agg(F.first("_row").alias("_row"))
+    return out.union(one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
 
 
 def _placed(rows: DataFrame, percent: int, size: int, block: int) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id) of rows from ``anchors.keyed``."""
+    """(doc_id, th, n_shingles, component_id, part) of rows from ``anchors.keyed``; part names the component by its smallest class."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def digests(text: np.ndarray, token: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,11 +201,12 @@ def _placed(rows: DataFrame, percent: int, size: int, block: int) -> DataFrame:
     labels = component_labels(links)
     named = sets.select("class", "d1", "d2").join(labels, F.col("class") == F.col("node")).select("d1", "d2", "label")
     known = classes.join(named, ["d1", "d2"]).select("d1", "d2", "n", "rep", "label")
-    lowest = known.groupBy("label").agg(F.min("rep").alias("low"))
-    grouped = known.join(lowest, "label").select("d1", "d2", "n", "low")
-    final = classes.join(grouped, ["d1", "d2", "n"], "left").select("d1", "d2", "n", F.coalesce("low", "rep").alias("component_id"))
+    lowest = known.groupBy("label").agg(F.min("rep").alias("low"), F.min(F.struct("d1", "d2", "n")).alias("head"))
+    grouped = known.join(lowest, "label").select("d1", "d2", "n", "low", "head")
+    part = F.coalesce("head", F.struct("d1", "d2", "n")).alias("part")
+    final = classes.join(grouped, ["d1", "d2", "n"], "left").select("d1", "d2", "n", F.coalesce("low", "rep").alias("component_id"), part)
     placed = measured.join(final, ["d1", "d2", "n"], "left")
-    return placed.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).cast(id_type).alias("component_id"))
+    return placed.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).cast(id_type).alias("component_id"), "part")
 
 
 def _token_mask(measured: DataFrame) -> int:

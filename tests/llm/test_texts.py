@@ -75,6 +75,22 @@ def test_drop_near_keeps_one(spark):
     assert sorted(set(map(str, ids))) == sorted(set(map(str, want)))
 
 
+def test_drop_near_without_usable_identifiers(spark):
+    """Unrelated texts with no identifier or with the same one: each component keeps one text, compared as texts."""
+    rng = random.Random(14)
+    rows = [(i, brute.prose(rng, 120)) for i in [None] * 12 + [7] * 12]
+    for i, text in rows[:6] + rows[12:18]:
+        words = text.split()
+        words[60] = "edit"
+        rows.append((i, " ".join(words)))
+    rows += [(None, rows[0][1]), (9, rows[1][1]), (None, None), (None, ""), rows[20], (50, "twice the same row here"), (50, "twice the same row here")]
+    kept = [r.text for r in prefix_orders.drop_near(brute.documents(spark, rows, clashing=True), percent=80, size=5).collect()]
+    groups, sets = brute.near_groups(rows, 80, 5)
+    of_text = {t: g for g, s, (_, t) in zip(groups, sets, rows) if s}
+    assert sorted(of_text[t] for t in kept if t) == sorted(set(of_text.values()))
+    assert sorted(map(repr, (t for t in kept if not t))) == ["''", "None"]
+
+
 @pytest.mark.parametrize("window,k", [(35, 9), (6, 2)])
 def test_passages(spark, window, k):
     rows = brute.awkward(6)
