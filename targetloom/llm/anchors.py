@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from targetloom.llm.wordgrid import chunks, mix
@@ -51,8 +51,16 @@ def find_sites(runs: np.ndarray, first: np.ndarray, window: int, k: int) -> Site
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, th, text): th tells apart rows that repeat an identifier; rows equal in both are handled as one."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
+    """(doc_id, th, text): th tells rows apart, also those that share an identifier; rows equal in both are handled as one."""
+    return docs.select(F.col(id_col).alias("doc_id"), row_digest(F.col(id_col), F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+
+
+def row_digest(name: Column, text: Column) -> Column:
+    """128 bits that stand for a text and its identifier; null counts as the empty text.
+
+    The identifier only parts copies of one text, which may as well be handled as one: 64 bits of it are enough.
+    """
+    return F.unhex(F.md5(F.concat(F.coalesce(text, F.lit("")), F.hex(F.xxhash64(name))).cast("binary")))
 
 
 def over_texts(docs: DataFrame, schema: str, work: Callable[[list[bytes], int, pa.RecordBatch], dict], carry: tuple[str, ...] = ("doc_id", "th")) -> DataFrame:

@@ -46,13 +46,13 @@ def _sites(docs: DataFrame, window: int, k: int, nodes_only: bool) -> DataFrame:
 
     if nodes_only:
         return anchors.over_texts(docs, "h long", work, carry=())
-    return anchors.over_texts(docs, "h long, e_prev long, e_next long, at int, low int, high int", work)
+    return anchors.over_texts(docs, "h long, e_prev long, e_next long, at int, low int, high int", work, carry=("th",))
 
 
 def removable_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
-    """(doc_id, th, spans) of the documents that hold a window met elsewhere: flat [start, stop) word pairs to remove.
+    """(th, a, b) of the documents that hold a window met elsewhere: word spans [a, b) to remove.
 
-    ``docs`` comes from ``anchors.keyed``.
+    ``docs`` comes from ``anchors.keyed``; th alone names its rows here, which keeps the shuffles small.
     """
     met = _sites(docs, window, k, nodes_only=True).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     sites = cut_lineage(_sites(docs, window, k, nodes_only=False).join(met, "h", "left_semi"))
@@ -62,18 +62,18 @@ def removable_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> D
         ((F.min("e_next") == F.max("e_next")) & (F.count("e_next") == all_of)).alias("one_after"),
     )
     # the path around a node: back to the last node with several predecessors, on to the next with several successors
-    order = Window.partitionBy("doc_id", "th").orderBy("at")
+    order = Window.partitionBy("th").orderBy("at")
     back = F.max(F.when(~F.coalesce("one_before", F.lit(False)), F.col("at"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     on = F.min(F.when(~F.coalesce("one_after", F.lit(False)), F.col("at"))).over(order.rowsBetween(0, Window.unboundedFollowing))
-    paths = sites.join(nodes, "h").select("doc_id", "th", "at", "low", "high", back.alias("path_start"), (on + k).alias("path_stop"))
+    paths = sites.join(nodes, "h").select("th", "at", "low", "high", back.alias("path_start"), (on + k).alias("path_stop"))
     sure = F.struct(F.greatest("low", "path_start").alias("a"), F.least("high", F.col("path_stop") - window).alias("b"))
-    judged = cut_lineage(paths.withColumn("sure", sure).select("doc_id", "th", "low", "high", F.when(F.col("sure.a") <= F.col("sure.b"), F.col("sure")).alias("sure")))
-    certain = judged.where("sure is not null").select("doc_id", "th", F.col("sure.a").alias("a"), (F.col("sure.b") + window).alias("b"))
+    judged = cut_lineage(paths.withColumn("sure", sure).select("th", "low", "high", F.when(F.col("sure.a") <= F.col("sure.b"), F.col("sure")).alias("sure")))
+    certain = judged.where("sure is not null").select("th", F.col("sure.a").alias("a"), (F.col("sure.b") + window).alias("b"))
     parts = F.when(F.col("sure").isNull(), F.array(F.struct(F.col("low").alias("a"), F.col("high").alias("b")))).otherwise(
         F.array(F.struct(F.col("low").alias("a"), (F.col("sure.a") - 1).alias("b")), F.struct((F.col("sure.b") + 1).alias("a"), F.col("high").alias("b")))
     )
-    open_parts = judged.select("doc_id", "th", F.explode(parts).alias("p")).where("p.a <= p.b")
-    asked = open_parts.select("doc_id", "th", F.col("p.a").alias("a"), (F.col("p.b") + 1).alias("b"))
+    open_parts = judged.select("th", F.explode(parts).alias("p")).where("p.a <= p.b")
+    asked = open_parts.select("th", F.col("p.a").alias("a"), (F.col("p.b") + 1).alias("b"))
 
     def verify(texts: list[bytes], first: int, batch: pa.RecordBatch) -> dict:
         words = words_of(texts)
@@ -86,18 +86,18 @@ def removable_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR) -> D
         row, at = np.concatenate(row), np.concatenate(start)
         return {"row": row, "w1": signed(span_hash(one, at, at + window, 0)), "w2": signed(span_hash(two, at, at + window, 1)), "a": (at - words.first[row]).astype(np.int32)}
 
-    windows = cut_lineage(anchors.over_texts(_with_spans(docs, asked, "inner"), "w1 long, w2 long, a int", verify))
+    windows = cut_lineage(anchors.over_texts(_with_spans(docs, asked, "inner"), "w1 long, w2 long, a int", verify, carry=("th",)))
     # rows that share identifier and text are one row here; each of them counts, so theirs are met elsewhere
     met_again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    verified = windows.join(met_again, ["w1", "w2"], "left_semi").select("doc_id", "th", "a", (F.col("a") + window).alias("b"))
+    verified = windows.join(met_again, ["w1", "w2"], "left_semi").select("th", "a", (F.col("a") + window).alias("b"))
     return certain.unionByName(verified)
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     """Documents with their spans as one flat array; a document has no more of them than tokens."""
-    listed = spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_set(F.array("a", "b"))).alias("spans"))
-    listed = listed.select(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th"), "spans")
-    return docs.join(listed, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th")), how).drop("s_id", "s_th")
+    listed = spans.groupBy("th").agg(F.flatten(F.collect_set(F.array("a", "b"))).alias("spans"))
+    listed = listed.select(F.col("th").alias("s_th"), "spans")
+    return docs.join(listed, F.col("th") == F.col("s_th"), how).drop("s_th")
 
 
 def drop_passages(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", measure_only: bool = False) -> DataFrame:
@@ -110,9 +110,9 @@ def drop_passages(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, id_col
     that of the kept words joined by one space.
     """
     rows = anchors.keyed(docs, id_col, text_col) if measure_only else docs.withColumns({"_row": F.struct(*[F.col(f"`{c}`") for c in docs.columns])}).select(
-        F.col(id_col).alias("doc_id"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"), "_row"
+        F.col(id_col).alias("doc_id"), anchors.row_digest(F.col(id_col), F.col(text_col)).alias("th"), F.col(text_col).alias("text"), "_row"
     )
-    spans = removable_spans(rows.select("doc_id", "th", "text"), window, k)
+    spans = removable_spans(rows.select("th", "text"), window, k)
     marked = _with_spans(rows, spans, "left")
 
     def cut(texts: list[bytes], first: int, batch: pa.RecordBatch) -> dict:

@@ -137,7 +137,7 @@ def drop_near(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, bloc
     first = rows.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "rows")).alias("f"))
     blank = placed.where("n_shingles = 0").select("doc_id", "th", F.lit(1).cast("long")).distinct()
     kept = cut_lineage(first.select(F.col("f.doc_id").alias("_keep_id"), F.col("f.th").alias("_keep_th"), F.col("f.rows").alias("_keep_rows")).union(blank))
-    met = docs[id_col].eqNullSafe(F.col("_keep_id")) & (F.hash(docs[text_col]) == F.col("_keep_th"))
+    met = docs[id_col].eqNullSafe(F.col("_keep_id")) & (anchors.row_digest(docs[id_col], docs[text_col]) == F.col("_keep_th"))
     out = docs.join(kept.where("_keep_rows = 1"), met, "left_semi")
     equal = kept.where("_keep_rows > 1")
     if equal.isEmpty():

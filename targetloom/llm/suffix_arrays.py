@@ -155,10 +155,10 @@ def removable_spans(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR, shar
     shards_rows = texts.repartition(tasks, "h", "salt").sortWithinPartitions("h", "salt")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sorted_shards = cut_lineage(shards_rows.mapInArrow(
-        _shard_sorter(window, shard_zones), f"doc_id {id_type}, th int, a int, b int, h long, part int, keys binary, places array<struct<doc_id:{id_type},th:int,a:int>>"
+        _shard_sorter(window, shard_zones), f"doc_id {id_type}, th binary, a int, b int, h long, part int, keys binary, places array<struct<doc_id:{id_type},th:binary,a:int>>"
     ))
     inside = sorted_shards.where("part is null").select("doc_id", "th", "a", "b")
-    merged = sorted_shards.where("part is not null").groupBy("h", "part").applyInArrow(_merge_shards, f"doc_id {id_type}, th int, a int")
+    merged = sorted_shards.where("part is not null").groupBy("h", "part").applyInArrow(_merge_shards, f"doc_id {id_type}, th binary, a int")
     return certain.unionByName(inside).unionByName(merged.withColumn("b", F.col("a") + window))
 
 
@@ -193,7 +193,7 @@ def _shard_sorter(window: int, shard_zones: int):
         for (h, part), found in runs.items():
             found.sort(key=lambda x: x[0])
             rows.append({"h": h, "part": part, "keys": b"".join(k for k, _ in found), "places": [p for _, p in found]})
-        at = pa.struct([("doc_id", id_type), ("th", pa.int32()), ("a", pa.int32())])
+        at = pa.struct([("doc_id", id_type), ("th", pa.binary()), ("a", pa.int32())])
         schema = pa.schema([*at, ("b", pa.int32()), ("h", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("places", pa.list_(at))])
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 

@@ -91,6 +91,18 @@ def test_drop_near_without_usable_identifiers(spark):
     assert sorted(map(repr, (t for t in kept if not t))) == ["''", "None"]
 
 
+def test_texts_of_one_identifier_with_equal_short_hashes(spark):
+    """Two texts without an identifier whose 32-bit hashes are equal: neither takes the other's cuts or place."""
+    short = "".join(f"lft{i:04d} " for i in range(60)) + "00084756"
+    long = "".join(f"rgt{i:04d} " for i in range(200)) + "00171936"
+    assert spark.range(1).select(F.hash(F.lit(short)) == F.hash(F.lit(long))).first()[0]
+    rows = [(None, short), (None, long), (1, " ".join(long.split()[100:160])), (2, " ".join(short.split()[:20])), (3, long + " more")]
+    docs = brute.documents(spark, rows)
+    assert brute.same_rows(debruijn.drop_passages(docs, 12, 3, measure_only=True).collect(), brute.cut_words(rows, 12))
+    assert brute.same_rows(suffix_arrays.drop_repeats(docs, 60, 9).collect(), brute.cut_bytes(rows, 60))
+    assert sorted(r.text for r in prefix_orders.drop_near(docs).collect()) == sorted(t for _, t in rows if t != long)
+
+
 @pytest.mark.parametrize("window,k", [(35, 9), (6, 2)])
 def test_passages(spark, window, k):
     rows = brute.awkward(6)
