@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from targetloom.llm.wordgrid import chunks, mix
 
 _PLACE = np.uint64((1 << 24) - 1)
+_PIECE = 1 << 22
 
 
 @dataclass
@@ -32,24 +33,38 @@ class Sites:
 
 def find_sites(runs: np.ndarray, first: np.ndarray, window: int, k: int) -> Sites:
     """``runs`` hashes the ``k`` tokens from each position; text i has the positions first[i] to first[i + 1]."""
-    n, width = int(first[-1]), window - k + 1
-    if n > int(_PLACE):
-        raise ValueError(f"a text of more than {int(_PLACE)} tokens")
+    n = int(first[-1])
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    best = (mix(runs[:n]) & ~_PLACE) | np.arange(n, dtype=np.uint64)
-    span = 1
-    while span < width:  # smallest of `width` neighbours, by doubling
-        step = min(span, width - span)
-        best[:-step] = np.minimum(best[:-step], best[step:])
-        span += step
+    smallest = smallest_places(runs[:n], window - k + 1)
     start = np.flatnonzero(np.arange(n) + window <= first[1:][text])
-    at = (best[start] & _PLACE).astype(np.int64)
+    at = smallest[start]
     new = np.ones(len(start), dtype=bool)
     new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
     edge = np.flatnonzero(new)
     return Sites(text[start[edge]], at[edge], start[edge], start[np.append(edge[1:], len(start)) - 1] if len(start) else start)
 
 
+def smallest_places(runs: np.ndarray, width: int, piece: int = _PIECE) -> np.ndarray:
+    """Place of the smallest-hashing of the ``width`` runs from each place on, the first of equals.
+
+    Places are packed below the hash, in 24 bits: longer texts go by pieces that overlap by ``width`` - 1 runs.
+    """
+    n = len(runs)
+    if piece + width - 1 > int(_PLACE):
+        raise ValueError(f"a window of more than {int(_PLACE) - piece} tokens")
+    out = np.empty(n, dtype=np.int64)
+    for low in range(0, n, piece):
+        some = runs[low : low + piece + width - 1]
+        best = (mix(some) & ~_PLACE) | np.arange(len(some), dtype=np.uint64)
+        span = 1
+        while span < width:  # smallest of `width` neighbours, by doubling
+            step = min(span, width - span)
+            best[:-step] = np.minimum(best[:-step], best[step:])
+            span += step
+        out[low : low + piece] = (best[:piece] & _PLACE).astype(np.int64) + low
+    return out
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, th, text): th tells rows apart, also those that share an identifier; rows equal in both are handled as one."""
     return docs.select(F.col(id_col).alias("doc_id"), row_digest(F.col(id_col), F.col(text_col)).alias("th"), F.col(text_col).alias("text"))

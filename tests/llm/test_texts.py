@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from targetloom.llm import components, content_sort, debruijn, prefix_orders, suffix_arrays
+from targetloom.llm import anchors, components, content_sort, debruijn, prefix_orders, suffix_arrays
 from tests.llm import brute
 
 
@@ -137,6 +137,21 @@ def test_repeats(spark, window, k, zones):
     assert brute.same_rows(got, brute.cut_bytes(rows, window))
 
 
+def test_sites_of_texts_of_any_length():
+    """A text of more than 2**24 tokens has the sites that its end has by itself, and pieces change no place."""
+    n, tail = (1 << 24) + 5000, 20_000
+    runs = np.arange(n, dtype=np.uint64) % np.uint64(9973)
+    whole = anchors.find_sites(runs, np.array([0, n]), 40, 9)
+    end = anchors.find_sites(runs[-tail:], np.array([0, tail]), 40, 9)
+    inside = whole.low > n - tail + 40
+    assert whole.high[-1] == n - 40 and (np.diff(whole.low) == (whole.high - whole.low + 1)[:-1]).all()
+    for a, b in ((whole.at, end.at), (whole.low, end.low), (whole.high, end.high)):
+        assert (a[inside] - (n - tail) == b[-inside.sum() :]).all()
+    some = runs[:3000]
+    for piece in (1, 7, 1000):
+        assert (anchors.smallest_places(some, 32, piece) == anchors.smallest_places(some, 32)).all()
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(11)
     for _ in range(60):
