@@ -9,6 +9,7 @@ from targetloom.operators import graph as G
 from targetloom.operators import robustness as B
 from targetloom.operators import scoring as S
 from targetloom.plans.registry import query
+from targetloom.plans.robustness_queries import NULLS
 from targetloom.plans.roles import ROLE_SQL, Inputs
 
 ROLE_SQL["sparse_links"] = """SELECT DISTINCT concat('c', CAST(o_custkey AS VARCHAR(20))) AS source, concat('p', CAST(l_partkey AS VARCHAR(20))) AS target,
@@ -78,8 +79,8 @@ def _(x: Inputs) -> DataFrame:
 @query("g06_rewired_degrees")
 def _(x: Inputs) -> DataFrame:
     """Degree change per replicate; 0 everywhere is the invariant the tests assert."""
-    reps = B.trial_ids(x.spark, 10, "replicate")
-    out = G.rewired(x.edges, reps, rounds=4)
+    reps = B.trial_ids(x.spark, NULLS, "replicate")
+    out = G.rewired(x.edges, reps)
     ends = out.select("replicate", F.explode(F.array("source", "target")).alias("v")).groupBy("replicate", "v").agg(F.count(F.lit(1)).alias("k"))
     true = G.strength(x.edges).select("v", "n_neighbours")
     return ends.join(true, "v").groupBy("replicate").agg(F.sum(F.abs(F.col("k") - F.col("n_neighbours"))).alias("degree_change"), F.count(F.lit(1)).alias("n_vertices"))
@@ -87,7 +88,7 @@ def _(x: Inputs) -> DataFrame:
 
 @query("i06_null_rewired_network")
 def _(x: Inputs) -> DataFrame:
-    edges = G.rewired(x.edges, B.trial_ids(x.spark, 20, "replicate"), rounds=8)
+    edges = G.rewired(x.edges, B.trial_ids(x.spark, NULLS, "replicate"))
     score = F.round(S.pair_expression(S.PAIR_WEIGHTS, "s1", "s2", "comp", "xtalk"), 9)
     return B.best_pair_with_rewired_edges(x.panel_pairs, edges, score).select("replicate", r6("null_score").alias("null_score"))
 

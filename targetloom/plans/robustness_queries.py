@@ -13,7 +13,7 @@ from targetloom.plans.roles import ROLE_SQL, SPARK_ROLES, Inputs
 from targetloom.plans.scoring_queries import _MODELS_SQL, dual_best
 from targetloom.session import cut_lineage
 
-TRIALS, SEED, NULLS = 1000, 42, 200
+TRIALS, SEED, NULLS = 1000, 42, 1000
 _PAIR = "round(0.35 * s1 + 0.35 * s2 + 0.20 * comp + 0.10 * {x}, 9)"
 _U = "((CAST(concat('0x', substr(md5(concat_ws('|', '{seed}', {keys})), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 
