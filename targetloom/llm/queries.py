@@ -11,4 +11,6 @@ from targetloom.llm import registry
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = registry.QUERIES
 CHECKS: dict[str, str] = registry.CHECKS
 
-from targetloom.llm import content_sort, debruijn, grid_order, packing, piece_codec, prefix_orders, suffix_arrays, token_files, weak_labels, web_archive  # noqa: E402,F401  each module registers its query
+from targetloom.llm import (  # noqa: E402,F401  each module registers its query
+    content_sort, debruijn, grid_order, manifest, packing, piece_codec, prefix_orders, suffix_arrays, token_counts, token_files, weak_labels, web_archive,
+)
