@@ -12,5 +12,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = registry.QUERIES
 CHECKS: dict[str, str] = registry.CHECKS
 
 from targetloom.llm import (  # noqa: E402,F401  each module registers its query
-    content_sort, debruijn, grid_order, manifest, packing, piece_codec, prefix_orders, suffix_arrays, token_counts, token_files, weak_labels, web_archive,
+    content_sort, debruijn, grid_order, manifest, packing, piece_codec, prefix_orders, prefix_trie, suffix_arrays, token_counts, token_files, weak_labels, web_archive,
 )
