@@ -6,12 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from targetloom.functions.numeric import keyed_uniform
+from targetloom.operators.boosting import Member, Trees, fit_trees, predict
 from targetloom.operators.pairs import block_tiles, packed_blocks
 from targetloom.operators.prefix import exact_quantiles, medians, running_sums
 from targetloom.session import cut_lineage
@@ -51,6 +49,23 @@ def pooled_array_features(df: DataFrame, vector: str, width: int) -> DataFrame:
     return out.withColumn("pooled", F.concat(mean, top)).drop("_a")
 
 
+def pair_features(pairs: DataFrame, drugs: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
+    """(drug_row, drug_col, cell_line_name, features): both drugs' pooled vectors, then one place per cell line.
+
+    ``drugs`` is (drug, pooled) with ``width`` numbers each; pairs with an unknown drug are left out.  Lines are placed in
+    byte order; their number is the width of the one-hot part.
+    """
+    lines = cut_lineage(index_map(pairs, "cell_line_name", "_line"))
+    n = lines.count()
+    hot = F.transform(F.sequence(F.lit(0), F.lit(max(0, n - 1))), lambda i: (i == F.col("_line")).cast("double"))
+    out = pairs.join(lines, "cell_line_name")
+    for side in ("drug_row", "drug_col"):
+        out = out.join(drugs.select(F.col("drug").alias(side), F.col("pooled").alias(f"_{side}")), side)
+    out = out.select("drug_row", "drug_col", "cell_line_name", F.concat("_drug_row", "_drug_col", hot).alias("features"))
+    names = [f"{side}_{i}" for side in ("row", "col") for i in range(width)] + [f"line_{i}" for i in range(n)]
+    return out, names
+
+
 def index_map(df: DataFrame, col: str, out: str = "index") -> DataFrame:
     """0-based index of each distinct text in byte order: ranges of texts, numbered inside and offset by the earlier ranges' counts."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -107,13 +122,43 @@ def unseen_drug_split(df: DataFrame, a: str = "drug_row", b: str = "drug_col", v
     return out.where(F.col("_sa") == F.col("_sb")).withColumn("split", F.col("_sa")).drop("_sa", "_sb")
 
 
+def deal_equal_groups(loads: list[int], size: int, count: int) -> list[tuple[int, list[int]]]:
+    """Deal ``count`` groups of ``size`` rows to the lightest fold each (the first of equally light ones); ``loads`` is updated.
+
+    Returns phases (first group, folds in turn): a fold joins the turn when the others have filled up to it, and from
+    then on the folds in turn differ by one group at most, so they take groups in a fixed order.
+    """
+    phases, done = [], 0
+    waiting = sorted(range(len(loads)), key=lambda f: (loads[f], f))
+    turn: list[int] = []
+    while done < count:
+        turn = sorted([*turn, waiting.pop(0)], key=lambda f: (loads[f], f))
+        until = count - done
+        if waiting:
+            mark = waiting[0]
+            until = min(until, sum(-((loads[f] - loads[mark]) // size) + (f < mark and (loads[mark] - loads[f]) % size == 0) for f in turn if (loads[f], f) < (loads[mark], mark)))
+        phases.append((done, list(turn)))
+        for i, f in enumerate(turn):
+            loads[f] += size * (until // len(turn) + (i < until % len(turn)))
+        done += until
+    return phases
+
+
 def balanced_group_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
-    """(key, fold): groups dealt out in order of size, largest first, back and forth over the folds."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    starts = running_sums(sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")), "n", ["c"], descending=True).select("n", (F.col("cum_c") - F.col("c")).alias("_s"))
-    place = sizes.join(starts, "n").withColumn("_p", F.col("_s") + F.row_number().over(Window.partitionBy("n").orderBy(key)) - 1)
-    turn, at = F.floor(F.col("_p") / folds) % 2, F.col("_p") % folds
-    return place.select(key, F.when(turn == 0, at).otherwise(folds - 1 - at).cast("int").alias("fold"))
+    """(key, fold): groups from the largest down, each to the fold with the fewest rows so far; equal groups in order of key.
+
+    Groups of one size are dealt as a whole, so the driver sees one row per distinct size, of which there are at most
+    the square root of twice the rows.  Fewer groups than folds give as many folds as groups.
+    """
+    sizes = cut_lineage(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    classes = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).collect()
+    loads = [0] * max(1, min(folds, sum(r.c for r in classes)))
+    plan = [(r.n, deal_equal_groups(loads, r.n, r.c)) for r in classes]
+    phases = df.sparkSession.createDataFrame(plan, "n long, phases array<struct<first:long,turn:array<int>>>")
+    place = running_sums(sizes.withColumn("_one", F.lit(1)), key, ["_one"], ["n"]).withColumn("_p", F.col("cum__one") - 1).join(phases, "n")
+    now = F.element_at(F.filter("phases", lambda x: x.first <= F.col("_p")), -1)
+    picked = place.withColumn("_now", now).withColumn("_i", (F.col("_p") - F.col("_now.first")) % F.size("_now.turn"))
+    return picked.select(key, F.get("_now.turn", F.col("_i").cast("int")).alias("fold"))
 
 
 # --- normalisation and baselines ----------------------------------------------------------------------------------
@@ -162,21 +207,51 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str] = ())
     return agg.select(*by, "n", r2.alias("r2"), "mae", "mse", F.sqrt("mse").alias("rmse"), pearson.alias("pearson"))
 
 
-def grouped_cv_model(df: DataFrame, features: Sequence[str], target: str, group: str, folds: int = 3, estimator: Estimator | None = None) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold predictions of a pyspark.ml estimator with whole groups held out, and mean feature importances."""
-    est = estimator or GBTRegressor(featuresCol="features", labelCol=target, maxIter=150, maxDepth=3, stepSize=0.05, seed=42)
-    lab = balanced_group_folds(df, group, folds)
-    rows = cut_lineage(df.join(lab, group))
-    vec = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(rows)
-    parts, weights = None, np.zeros(len(features))
-    for k in range(folds):
-        model = est.fit(vec.where(F.col("fold") != k))
-        pred = model.transform(vec.where(F.col("fold") == k)).select(*rows.columns, "prediction")
-        parts = pred if parts is None else parts.unionByName(pred)
-        if hasattr(model, "featureImportances"):
-            weights += model.featureImportances.toArray() / folds
-    imp = df.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(features, weights)], "feature string, importance double")
-    return parts, imp
+def other_fold_means(rows: DataFrame, entity: str, target: str, folds: int) -> DataFrame:
+    """``rows`` with ``_means``: per fold k the mean target of the row's entity outside k, else of all rows outside k.
+
+    A model that holds out fold k may use place k for its training and its held-out rows alike: no target of k is in it.
+    """
+    cells = rows.groupBy(entity, "fold").agg(F.sum(target).alias("s"), F.count(target).alias("n"))
+
+    def sums(by: list[str]) -> DataFrame:
+        aggs = [F.array(*[F.sum(F.when(F.col("fold") != k, F.col(c))) for k in range(folds)]).alias(f"_{c}{len(by)}") for c in ("s", "n")]
+        return cells.groupBy(*by).agg(*aggs)
+
+    every = sums([]).select(F.struct("_s0", "_n0").alias("a")).scalar()
+    out = rows.join(sums([entity]), entity).withColumn("_all", every)
+    means = [F.coalesce(F.try_divide(F.get("_s1", k), F.get("_n1", k)), F.try_divide(F.get("_all._s0", k), F.get("_all._n0", k))) for k in range(folds)]
+    return out.withColumn("_means", F.array(*means)).drop("_s1", "_n1", "_all")
+
+
+def grouped_tree_models(
+    df: DataFrame, features: Sequence[str], target: str, group: str, folds: int = 5, entity: str | None = None, trees: int = 150, depth: int = 3, rate: float = 0.05
+) -> tuple[DataFrame, Trees]:
+    """Boosted trees with whole groups held out: ``df`` with fold and out-of-fold predictions, and the fitted members.
+
+    ``prediction`` is that of the model on ``features``; with ``entity``, ``prediction_entity`` is that of the model that
+    may also use the entity's mean target outside the fold.  The last member, "all", is fitted on all rows.  All
+    members grow together.  Rows without a target are predicted but train nothing.
+    """
+    lab = cut_lineage(balanced_group_folds(df, group, folds))
+    folds = lab.agg(F.max("fold")).first()[0] + 1
+    rows = df.join(lab, group)
+    names, own = list(features), tuple(range(len(features)))
+    vector = F.array(*[F.col(f).cast("double") for f in features])
+    members = [Member(f"fold {k}", 0, k, own) for k in range(folds)]
+    if entity:
+        rows = other_fold_means(rows, entity, target, folds)
+        vector = F.concat(vector, F.col("_means"))
+        members += [Member(f"fold {k} with {entity}", 0, k, (*own, len(own) + k)) for k in range(folds)]
+        names += [f"{entity} outside {k}" for k in range(folds)]
+    members.append(Member("all", 0, -1, own))
+    ready = cut_lineage(rows.select(*df.columns, "fold", vector.alias("features"), F.array(F.col(target).cast("double")).alias("targets"), F.array(F.lit(1.0)).alias("weights")))
+    fitted = fit_trees(ready, members, names, trees=trees, depth=depth, rate=rate)
+    scored = predict(ready, fitted, "_scores")
+    out = scored.withColumn("prediction", F.get("_scores", F.col("fold")))
+    if entity:
+        out = out.withColumn("prediction_entity", F.get("_scores", F.col("fold") + folds))
+    return out.drop("features", "targets", "weights", "_scores"), fitted
 
 
 # --- set distances ------------------------------------------------------------------------------------------------

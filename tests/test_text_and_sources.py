@@ -97,24 +97,6 @@ def test_splits_are_disjoint(spark):
     assert sorted(r["count"] for r in folds) == [5, 6, 6, 6]
 
 
-def test_grouped_cv_uses_planted_features(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    data = []
-    for line in range(15):
-        for g in range(5):
-            a, b, c = rng.random(3)
-            data.append((f"l{line}", f"g{g}", float(a), float(b), float(c), float(2 * a - b)))
-    df = spark.createDataFrame(data, "line string, gene string, a double, b double, c double, target double")
-    from pyspark.ml.regression import GBTRegressor
-
-    pred, imp = L.grouped_cv_model(df, ["a", "b", "c"], "target", "line", 3, GBTRegressor(featuresCol="features", labelCol="target", maxIter=15, maxDepth=3, seed=1))
-    assert L.regression_metrics(pred, "target", "prediction").first()["r2"] > 0.3
-    top = [r["feature"] for r in imp.orderBy(F.desc("importance")).collect()]
-    assert set(top[:2]) == {"a", "b"}
-
-
 def test_patient_ids_as_barcode_fragments(spark):
     from targetloom.operators.cohort import altered_genes_by_fragment
 
