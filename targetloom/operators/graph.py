@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from targetloom.functions.numeric import keyed_uniform, null_skipping_mean
+from targetloom.operators.permutation import numbered, round_keys, shuffled_place
 from targetloom.operators.prefix import exact_quantiles
 from targetloom.session import cut_lineage
 
@@ -222,38 +223,39 @@ def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: flo
 def rewired(edges: DataFrame, replicates: DataFrame, rounds: int = 8, seed: int = 42) -> DataFrame:
     """(replicate, source, target, weight): degree-preserving random graphs with shuffled weights.
 
-    A round pairs the edges of each replicate at random and swaps the ends of all pairs at once; a swap that would
-    make a loop or a duplicate (of a present edge or of another swap) is refused.  Half of the edges try per round and
-    end, so eight rounds are about 4 x edges attempts.
+    Edges are numbered once and keep their places.  A round pairs the places of each replicate by a keyed bijection and
+    swaps the ends of all pairs at once; a swap that would make a loop or a duplicate (of a present edge or of another
+    swap) is refused.  Half of the edges try per round and end, so eight rounds are about 4 x edges attempts.  A last
+    bijection deals the weights out again.
     """
-    base = cut_lineage(canonical_edges(edges))
-    n = replicates.agg(F.max("replicate").alias("m")).scalar()
-    cur = base.select(F.explode(F.sequence(F.lit(0), n)).alias("replicate"), "source", "target")
+    base = numbered(canonical_edges(edges), ["source", "target"])
+    size = base.count()
+    reps = replicates.select("replicate", *[round_keys(seed, i, "replicate").alias(f"k{i}") for i in range(rounds + 1)])
+    reps = cut_lineage(reps)  # one row per replicate, a parameter
+    cur = base.select("_place", "source", "target", F.explode(reps.agg(F.collect_list("replicate").alias("r")).scalar()).alias("replicate"))
     for i in range(rounds):
-        order = Window.partitionBy("replicate").orderBy(keyed_uniform(seed, i, "replicate", "source", "target"), "source", "target")
-        rows = cur.withColumn("_r", F.row_number().over(order) - 1).withColumn("_p", F.floor(F.col("_r") / 2)).withColumn("_first", F.col("_r") % 2 == 0)
+        rows = cur.join(F.broadcast(reps.select("replicate", F.col(f"k{i}").alias("_keys"))), "replicate")
+        at = shuffled_place(F.col("_place"), size, F.col("_keys"))
+        rows = rows.withColumn("_at", at).drop("_keys").withColumn("_p", F.expr("_at div 2")).withColumn("_first", F.col("_at") % 2 == 0)
         flip = keyed_uniform(seed + 1, i, "replicate", "source", "target") < 0.5
         rows = rows.withColumn("a", F.when(flip, F.col("source")).otherwise(F.col("target"))).withColumn("b", F.when(flip, F.col("target")).otherwise(F.col("source")))
+        rows = cut_lineage(rows)
         pair = rows.groupBy("replicate", "_p").agg(
-            F.max(F.when(F.col("_first"), F.struct("a", "b"))).alias("x"), F.max(F.when(~F.col("_first"), F.struct("a", "b"))).alias("y")
-        )
-        swaps = pair.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
-            "replicate", "_p",
-            F.array(F.struct(F.col("x.a").alias("a"), F.col("y.b").alias("b")), F.struct(F.col("y.a").alias("a"), F.col("x.b").alias("b"))).alias("new"),
-        )
-        new = swaps.select("replicate", "_p", F.explode("new").alias("e")).select(
-            "replicate", "_p", F.least("e.a", "e.b").alias("source"), F.greatest("e.a", "e.b").alias("target")
+            F.max(F.when(F.col("_first"), F.struct("a", "b", "_place"))).alias("x"), F.max(F.when(~F.col("_first"), F.struct("a", "b", "_place"))).alias("y")
         )
+        ends = [F.struct(F.col(f"{u}.a").alias("a"), F.col(f"{v}.b").alias("b"), F.col(f"{u}._place").alias("_place")) for u, v in (("x", "y"), ("y", "x"))]
+        new = pair.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("replicate", "_p", F.explode(F.array(*ends)).alias("e"))
+        new = new.select("replicate", "_p", "e._place", F.least("e.a", "e.b").alias("source"), F.greatest("e.a", "e.b").alias("target"))
         seen = F.count(F.lit(1)).over(Window.partitionBy("replicate", "source", "target"))
-        new = new.withColumn("_n", seen).join(cur.withColumn("_have", F.lit(1)), ["replicate", "source", "target"], "left")
+        new = new.withColumn("_n", seen).join(rows.select("replicate", "source", "target", F.lit(1).alias("_have")), ["replicate", "source", "target"], "left")
         bad = (F.col("source") == F.col("target")) | (F.col("_n") > 1) | F.col("_have").isNotNull()
         ok = new.withColumn("_bad", bad.cast("int")).withColumn("_any", F.max("_bad").over(Window.partitionBy("replicate", "_p"))).where("_any = 0")
-        accepted = ok.select("replicate", "_p").distinct()
-        kept = rows.join(accepted, ["replicate", "_p"], "left_anti").select("replicate", "source", "target")
-        cur = cut_lineage(kept.unionByName(ok.select("replicate", "source", "target")))
-    place = F.row_number().over(Window.partitionBy("replicate").orderBy(keyed_uniform(seed + 2, "replicate", "source", "target"), "source", "target"))
-    weights = base.withColumn("_g", F.lit(0)).select(F.row_number().over(Window.partitionBy("_g").orderBy("source", "target")).alias("_w"), "weight")
-    return cur.withColumn("_w", place).join(weights, "_w").select("replicate", "source", "target", "weight")
+        ok = cut_lineage(ok.select("replicate", "_place", "source", "target"))
+        kept = rows.join(ok, ["replicate", "_place"], "left_anti").select("replicate", "_place", "source", "target")
+        cur = kept.unionByName(ok)
+    placed = cur.join(F.broadcast(reps.select("replicate", F.col(f"k{rounds}").alias("_keys"))), "replicate")
+    placed = placed.withColumn("_place", shuffled_place(F.col("_place"), size, F.col("_keys")))
+    return placed.join(base.select("_place", "weight"), "_place").select("replicate", "source", "target", "weight")
 
 
 def adjacency(rows: DataFrame, evidence: Sequence[str], score: str | None = None, min_score: float = 700.0) -> DataFrame:

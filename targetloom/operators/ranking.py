@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from targetloom.operators.prefix import average_ranks, exact_quantiles, ranks_within, running, value_counts
+from targetloom.session import cut_lineage
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -54,10 +55,12 @@ def positions_within(df: DataFrame, score: str, keys: Sequence[str], by: Sequenc
 def compare_scenarios(base: DataFrame, trials: DataFrame, keys: Sequence[str], by: Sequence[str], ks: Sequence[int] = (10, 20)) -> DataFrame:
     """Spearman's rho and top-k overlap of every scenario with the baseline.
 
-    ``base`` (keys, score); ``trials`` (by, keys, score).  One trial ranks one panel, so its group is panel-sized.
+    ``base`` (unique keys, score); ``trials`` (by, keys, score).  One trial ranks one panel, so its group is panel-sized.
     """
-    b = base.withColumn("_g", F.lit(0))
-    b = positions_within(ranks_within(b, "score", ["_g"], "_br", True), "score", keys, ["_g"], "_bp").select(*keys, "_br", "_bp")
+    base = cut_lineage(base.select(*keys, "score"))
+    most = max(ks)  # only these places of the baseline matter, so the window below holds that many rows
+    first = top_k(base, "score", keys, most).withColumn("_bp", F.row_number().over(Window.orderBy(F.desc("score"), *keys))).select(*keys, "_bp")
+    b = average_ranks(base, "score", out="_br", descending=True).join(F.broadcast(first), list(keys), "left").fillna(most + 1, ["_bp"]).select(*keys, "_br", "_bp")
     t = positions_within(ranks_within(trials, "score", by, "_tr", True), "score", keys, by, "_tp")
     j = t.join(b, list(keys))
     overlaps = [(F.count_if((F.col("_tp") <= k) & (F.col("_bp") <= k)) / F.lit(float(k))).alias(f"top{k}_overlap") for k in ks]

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from targetloom.functions.numeric import keyed_uniform
+from targetloom.operators.permutation import numbered, round_keys, shuffled_place
 from targetloom.operators.ranking import normalised
 
 
@@ -65,19 +66,16 @@ def score_trials(rows: DataFrame, draws: DataFrame, score: Column, keep: Sequenc
 
 
 def permuted_column(rows: DataFrame, value: str, order: Sequence[str], replicates: DataFrame, seed: int) -> DataFrame:
-    """(replicate, order..., value'): the value column shuffled against the keys, once per replicate.
+    """(replicate, order..., value): the value column shuffled against its unique keys, once per replicate.
 
-    Rows are ranked per replicate by a keyed hash; the shuffled place is joined to the original place.  A replicate
-    holds one panel, so its window group is panel-sized; replicates spread over the tasks.
+    Rows are numbered once; a replicate's shuffle is a keyed bijection of the places, so nothing is sorted per
+    replicate.  The keys travel as one array, bounded by the number of replicates.
     """
-    base = rows.withColumn("_g", F.lit(0)).withColumn("_place", F.row_number().over(Window.partitionBy("_g").orderBy(*order)))
-    base = base.drop("_g")
-    n = replicates.agg(F.max("replicate").alias("m")).scalar()
-    spread = base.select(*order, "_place", F.explode(F.sequence(F.lit(0), n)).alias("replicate"))
-    drawn = spread.withColumn("_u", keyed_uniform(seed, "replicate", *order))
-    drawn = drawn.withColumn("_to", F.row_number().over(Window.partitionBy("replicate").orderBy("_u", *order)))
-    values = base.select(F.col("_place").alias("_to"), value)
-    return drawn.join(values, "_to").select("replicate", *order, value)
+    base = numbered(rows.select(*order, value), order)
+    packed = replicates.agg(F.collect_list(F.struct("replicate", round_keys(seed, "replicate").alias("keys"))).alias("r")).scalar()
+    spread = base.select(*order, "_place", F.explode(packed).alias("_r"))
+    drawn = spread.select(*order, "_r.replicate", shuffled_place(F.col("_place"), base.count(), F.col("_r.keys")).alias("_place"))
+    return drawn.join(base.select("_place", value), "_place").select("replicate", *order, value)
 
 
 def best_pair_per_replicate(pairs: DataFrame, permuted: DataFrame, score: Column) -> DataFrame:

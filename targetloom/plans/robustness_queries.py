@@ -8,6 +8,7 @@ from targetloom.functions.numeric import r6
 from targetloom.operators import ranking as K
 from targetloom.operators import robustness as B
 from targetloom.operators import scoring as S
+from targetloom.operators.permutation import GRID_SQL, KEYS_SQL, PLACE_SQL
 from targetloom.plans.registry import query
 from targetloom.plans.roles import ROLE_SQL, SPARK_ROLES, Inputs
 from targetloom.plans.scoring_queries import _MODELS_SQL, dual_best
@@ -157,21 +158,22 @@ def _pair_of(cross: str) -> F.Column:
     return F.round(S.pair_expression(S.PAIR_WEIGHTS, "s1", "s2", "comp", cross), 9)
 
 
-_REPS = f"reps AS (SELECT CAST(range AS INTEGER) AS replicate FROM range({NULLS}))"
-_NULL_A = f"""{_REPS}, base AS (SELECT kinase_id, target_score, row_number() OVER (ORDER BY kinase_id) AS place FROM panel_scores),
-    d AS (SELECT replicate, kinase_id, row_number() OVER (PARTITION BY replicate ORDER BY {_U.format(seed=SEED, keys='CAST(replicate AS VARCHAR), kinase_id')}, kinase_id) AS dst FROM base CROSS JOIN reps),
+_REPS = f"reps AS (SELECT CAST(range AS INTEGER) AS replicate, {KEYS_SQL.format(parts=f"'{SEED}', CAST(range AS VARCHAR)")} AS ks FROM range({NULLS}))"
+_DOM = f"dom AS {GRID_SQL.format(base='base')}"
+_NULL_A = f"""{_REPS}, base AS (SELECT kinase_id, target_score, row_number() OVER (ORDER BY kinase_id) - 1 AS place FROM panel_scores),
+    {_DOM}, d AS (SELECT replicate, kinase_id, {PLACE_SQL} AS dst FROM base CROSS JOIN reps CROSS JOIN dom),
     perm AS (SELECT d.replicate, d.kinase_id, b.target_score FROM d JOIN base b ON b.place = d.dst),
     null_a AS (SELECT p.replicate, max(round(0.35 * p.target_score + 0.35 * q.target_score + 0.20 * comp + 0.10 * xtalk, 9)) AS null_score
                FROM panel_pairs JOIN perm p ON p.kinase_id = k1 JOIN perm q ON q.kinase_id = k2 AND q.replicate = p.replicate GROUP BY 1)"""
-_NULL_B2 = """{reps}, base AS (SELECT {s} AS source, {t} AS target, {w} AS weight, row_number() OVER (ORDER BY {s}, {t}) AS place FROM {e}),
-    d AS (SELECT replicate, source, target, row_number() OVER (PARTITION BY replicate ORDER BY {u}, source, target) AS dst FROM base CROSS JOIN reps),
+_NULL_B2 = """{reps}, base AS (SELECT {s} AS source, {t} AS target, {w} AS weight, row_number() OVER (ORDER BY {s}, {t}) - 1 AS place FROM {e}),
+    {dom}, d AS (SELECT replicate, source, target, {dst} AS dst FROM base CROSS JOIN reps CROSS JOIN dom),
     perm AS (SELECT d.replicate, least(d.source, d.target) AS a, greatest(d.source, d.target) AS b, bb.weight FROM d JOIN base bb ON bb.place = d.dst),
     null_b AS (SELECT r.replicate, max(round(0.35 * s1 + 0.35 * s2 + 0.20 * comp + 0.10 * coalesce(perm.weight, 0.0), 9)) AS null_score
                FROM panel_pairs CROSS JOIN reps r LEFT JOIN perm ON perm.replicate = r.replicate AND a = k1 AND b = k2 GROUP BY 1)"""
 
 
 def _null_b_sql(edges: str, s: str, t: str, w: str) -> str:
-    return _NULL_B2.format(reps=_REPS, e=edges, s=s, t=t, w=w, u=_U.format(seed=SEED, keys="CAST(replicate AS VARCHAR), source, target"))
+    return _NULL_B2.format(reps=_REPS, e=edges, s=s, t=t, w=w, dom=_DOM, dst=PLACE_SQL)
 
 
 def _reps(x: Inputs) -> DataFrame:
@@ -204,8 +206,8 @@ def _(x: Inputs) -> DataFrame:
     return null_b_prime(x, True).select("replicate", r6("null_score").alias("null_score"))
 
 
-_NULL_C = f"""{_REPS}, base AS (SELECT drug, ord, kinase_id, row_number() OVER (ORDER BY drug, ord) AS place FROM drug_targets),
-    d AS (SELECT replicate, drug, ord, row_number() OVER (PARTITION BY replicate ORDER BY {_U.format(seed=SEED, keys='CAST(replicate AS VARCHAR), drug, CAST(ord AS VARCHAR)')}, drug, ord) AS dst FROM base CROSS JOIN reps),
+_NULL_C = f"""{_REPS}, base AS (SELECT drug, ord, kinase_id, row_number() OVER (ORDER BY drug, ord, kinase_id) - 1 AS place FROM drug_targets),
+    {_DOM}, d AS (SELECT replicate, drug, ord, {PLACE_SQL} AS dst FROM base CROSS JOIN reps CROSS JOIN dom),
     asg AS (SELECT DISTINCT d.replicate, d.drug, b.kinase_id FROM d JOIN base b ON b.place = d.dst),
     ps AS (SELECT a.kinase_id AS ki, b.kinase_id AS kj, round(0.35 * coalesce(sa.target_score, 0.0) + 0.35 * coalesce(sb.target_score, 0.0)
                + 0.20 * (CASE WHEN ca.community <> cb.community THEN 1.0 ELSE 0.0 END) + 0.10 * coalesce(e.w, 0.0), 9) AS score
@@ -218,7 +220,8 @@ _NULL_C = f"""{_REPS}, base AS (SELECT drug, ord, kinase_id, row_number() OVER (
 
 
 def null_c(x: Inputs) -> DataFrame:
-    perm = B.permuted_column(x.drug_targets.select("drug", "ord", "kinase_id"), "kinase_id", ["drug", "ord"], _reps(x), SEED)
+    perm = B.permuted_column(x.drug_targets.select("drug", "ord", "kinase_id", F.col("kinase_id").alias("held")), "held", ["drug", "ord", "kinase_id"], _reps(x), SEED)
+    perm = perm.select("replicate", "drug", F.col("held").alias("kinase_id"))
     ids = x.drug_targets.select("kinase_id").distinct()
     scores = ids.join(x.panel_scores, "kinase_id", "left").fillna(0.0, ["target_score"])
     pairs = S.entity_pairs(scores, x.community, x.edges).select("k1", "k2", _pair_of("xtalk").alias("score"))
