@@ -100,13 +100,13 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None) ->
     return labels.select("v", F.col("label").alias("component"))
 
 
-def betweenness(edges: DataFrame, vertices: DataFrame | None = None, inverse_weight: bool = False) -> DataFrame:
+def betweenness(edges: DataFrame, vertices: DataFrame | None = None, inverse_weight: bool = False, batch_sources: int = 1024) -> DataFrame:
     """Normalised betweenness with the weight (above 0) as distance, exact, as joins on (source, vertex).
 
-    1. distances: relax edges until nothing changes; 2. shortest-path counts: one wave per hop along the edges that
-    lie on shortest paths; 3. dependencies: waves backwards with the ratio of path counts.  Nothing is broadcast and
-    no source is handled by a single task.  Rounds go on until nothing changes; sums of weights are equal when they
-    agree to twelve digits.
+    Sources are taken in batches of about ``batch_sources``: the distances, path counts and path edges of a batch are
+    folded into one dependency per vertex and dropped, so the state is batch x vertices, never vertices x vertices.
+    Nothing is broadcast and no source is handled by a single task.  Rounds go on until nothing changes; sums of weights
+    are equal when they agree to twelve digits.
     """
     if not edges.where("weight is null or not weight > 0").isEmpty():
         raise ValueError("betweenness needs weights above 0: paths of length 0 have no shortest form")
@@ -114,7 +114,23 @@ def betweenness(edges: DataFrame, vertices: DataFrame | None = None, inverse_wei
     links = cut_lineage(links)
     verts = cut_lineage(vertices_of(edges, vertices))
     n = verts.count()
-    dist = verts.select(F.col("v").alias("s"), "v", F.lit(0.0).alias("d"), F.lit(True).alias("fresh"))
+    batches = max(1, -(-n // batch_sources))
+    total = None
+    for i in range(batches):
+        sources = verts.where(F.pmod(F.xxhash64("v"), F.lit(batches)) == i)
+        part = cut_lineage(_dependencies(links, sources))
+        total = part if total is None else cut_lineage(total.unionByName(part).groupBy("k").agg(F.sum("x").alias("x")))
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    return verts.join(total.withColumnRenamed("k", "v"), "v", "left").select("v", (F.coalesce("x", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """(k, x): how much the shortest paths from ``sources`` depend on vertex k.
+
+    1. distances: relax the edges of the frontier until nothing changes; 2. shortest-path counts: one wave per hop along
+    the edges that lie on shortest paths; 3. dependencies: waves backwards with the ratio of path counts.
+    """
+    dist = cut_lineage(sources.select(F.col("v").alias("s"), "v", F.lit(0.0).alias("d"), F.lit(True).alias("fresh")))
     while True:
         step = dist.where("fresh").select("s", F.col("v").alias("u"), "d").join(links, "u").select("s", "v", (F.col("d") + F.col("w")).alias("d"))
         best = step.groupBy("s", "v").agg(F.min("d").alias("nd"))
@@ -139,15 +155,13 @@ def betweenness(edges: DataFrame, vertices: DataFrame | None = None, inverse_wei
             total = total.unionByName(wave)
         return cut_lineage(total.groupBy("s", "k").agg(F.sum("x").alias("x")))
 
-    sigma = waves(verts.select(F.col("v").alias("s"), F.col("v").alias("k"), F.lit(1.0).alias("x")), on_path.withColumn("f", F.lit(1.0)), "u", "v")
+    sigma = waves(sources.select(F.col("v").alias("s"), F.col("v").alias("k"), F.lit(1.0).alias("x")), on_path.withColumn("f", F.lit(1.0)), "u", "v")
     su = sigma.select("s", F.col("k").alias("u"), F.col("x").alias("xu"))
     sv = sigma.select("s", F.col("k").alias("v"), F.col("x").alias("xv"))
     back = cut_lineage(on_path.join(su, ["s", "u"]).join(sv, ["s", "v"]).select("s", "u", "v", (F.col("xu") / F.col("xv")).alias("f")))
     ones = sigma.where(F.col("s") != F.col("k")).select("s", "k", F.lit(1.0).alias("x"))
-    delta = waves(ones, back, "v", "u").join(ones.select("s", "k", F.lit(1.0).alias("own")), ["s", "k"]).select("k", (F.col("x") - F.col("own")).alias("x"))
-    total = delta.groupBy("k").agg(F.sum("x").alias("b"))
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return verts.join(total.withColumnRenamed("k", "v"), "v", "left").select("v", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+    delta = waves(ones, back, "v", "u").join(ones.select("s", "k", F.lit(1.0).alias("own")), ["s", "k"])
+    return delta.groupBy("k").agg(F.sum(F.col("x") - F.col("own")).alias("x"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:

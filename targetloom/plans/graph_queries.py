@@ -9,7 +9,7 @@ from targetloom.operators import graph as G
 from targetloom.operators import robustness as B
 from targetloom.operators import scoring as S
 from targetloom.plans.registry import query
-from targetloom.plans.robustness_queries import NULLS
+from targetloom.plans.robustness_queries import NULLS, null_b
 from targetloom.plans.roles import ROLE_SQL, Inputs
 
 ROLE_SQL["sparse_links"] = """SELECT DISTINCT concat('c', CAST(o_custkey AS VARCHAR(20))) AS source, concat('p', CAST(l_partkey AS VARCHAR(20))) AS target,
@@ -88,9 +88,7 @@ def _(x: Inputs) -> DataFrame:
 
 @query("i06_null_rewired_network")
 def _(x: Inputs) -> DataFrame:
-    edges = G.rewired(x.edges, B.trial_ids(x.spark, NULLS, "replicate"))
-    score = F.round(S.pair_expression(S.PAIR_WEIGHTS, "s1", "s2", "comp", "xtalk"), 9)
-    return B.best_pair_with_rewired_edges(x.panel_pairs, edges, score).select("replicate", r6("null_score").alias("null_score"))
+    return null_b(x).select("replicate", r6("null_score").alias("null_score"))
 
 
 _ADJ = """adj0 AS (SELECT least(source, target) AS s, greatest(source, target) AS t, max((coalesce(abs(e1), 0.0) + coalesce(abs(e2), 0.0)) / ((e1 IS NOT NULL)::INT + (e2 IS NOT NULL)::INT)) AS w

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from targetloom.functions.numeric import r6
+from targetloom.operators import graph as G
 from targetloom.operators import ranking as K
 from targetloom.operators import robustness as B
 from targetloom.operators import scoring as S
@@ -191,6 +192,11 @@ def null_b_prime(x: Inputs, second: bool) -> DataFrame:
     return B.best_pair_with_shuffled_edges(x.panel_pairs, perm, _pair_of("xtalk"))
 
 
+def null_b(x: Inputs) -> DataFrame:
+    edges = G.rewired(x.edges, _reps(x))
+    return B.best_pair_with_rewired_edges(x.panel_pairs, edges, _pair_of("xtalk"))
+
+
 @query("i05_null_shuffled_scores", f"WITH {_NULL_A} SELECT replicate, round(null_score, 6) AS null_score FROM null_a")
 def _(x: Inputs) -> DataFrame:
     return null_a(x).select("replicate", r6("null_score").alias("null_score"))
@@ -222,11 +228,16 @@ _NULL_C = f"""{_REPS}, base AS (SELECT drug, ord, kinase_id, row_number() OVER (
 def null_c(x: Inputs) -> DataFrame:
     perm = B.permuted_column(x.drug_targets.select("drug", "ord", "kinase_id", F.col("kinase_id").alias("held")), "held", ["drug", "ord", "kinase_id"], _reps(x), SEED)
     perm = perm.select("replicate", "drug", F.col("held").alias("kinase_id"))
+    return B.best_drug_pair_per_replicate(perm.select("replicate", "drug", "kinase_id"), target_pair_scores(x))
+
+
+def target_pair_scores(x: Inputs) -> DataFrame:
+    """(k1 <= k2, score) of all entities that drugs hold, an entity with itself included."""
     ids = x.drug_targets.select("kinase_id").distinct()
     scores = ids.join(x.panel_scores, "kinase_id", "left").fillna(0.0, ["target_score"])
     pairs = S.entity_pairs(scores, x.community, x.edges).select("k1", "k2", _pair_of("xtalk").alias("score"))
     selfs = scores.select(F.col("kinase_id").alias("k1"), F.col("kinase_id").alias("k2"), F.round(0.35 * F.col("target_score") + 0.35 * F.col("target_score"), 9).alias("score"))
-    return B.best_drug_pair_per_replicate(perm.select("replicate", "drug", "kinase_id"), pairs.unionByName(selfs))
+    return pairs.unionByName(selfs)
 
 
 @query("i08_null_shuffled_targets", f"WITH {_NULL_C} SELECT replicate, round(null_score, 6) AS null_score FROM null_c")
@@ -241,17 +252,34 @@ _EMP = """count(*) AS n, round(max(obs), 6) AS observed, round(avg(null_score),
 @query(
     "i09_null_summary",
     f"""WITH {_NULL_A}, o AS (SELECT max({_PAIR.format(x='xtalk')}) AS obs FROM panel_pairs),
-        b2 AS (WITH {_null_b_sql('edges', 'source', 'target', 'weight')} SELECT * FROM null_b)
-        SELECT 'shuffled scores' AS null_model, {_EMP} FROM null_a CROSS JOIN o UNION ALL SELECT 'shuffled edge weights', {_EMP} FROM b2 CROSS JOIN o""",
+        b2 AS (WITH {_null_b_sql('edges', 'source', 'target', 'weight')} SELECT * FROM null_b), c2 AS (WITH {_NULL_C} SELECT * FROM null_c),
+        oc AS (WITH {_NULL_C} SELECT max(score) AS obs FROM drug_targets p JOIN drug_targets q ON p.drug < q.drug JOIN ps ON ki = p.kinase_id AND kj = q.kinase_id)
+        SELECT 'shuffled scores' AS null_model, {_EMP} FROM null_a CROSS JOIN o UNION ALL SELECT 'shuffled edge weights', {_EMP} FROM b2 CROSS JOIN o
+        UNION ALL SELECT 'shuffled targets', {_EMP} FROM c2 CROSS JOIN oc""",
 )
 def _(x: Inputs) -> DataFrame:
-    """D25 empirical p and Z of two null models in one table."""
+    """D25 empirical p and Z of the null models that SQL can draw as well; the rewired network is in the next query."""
+    real = x.drug_targets.select(F.lit(0).alias("replicate"), "drug", "kinase_id")
+    observed_c = B.best_drug_pair_per_replicate(real, target_pair_scores(x)).select("null_score").scalar()
     obs = x.pair_base.agg(F.max("score").alias("o")).scalar()
-    rows = null_a(x).select(F.lit("shuffled scores").alias("null_model"), "null_score").unionByName(
-        null_b_prime(x, False).select(F.lit("shuffled edge weights").alias("null_model"), "null_score")
-    )
-    out = K.empirical_p_z(rows, obs, by=["null_model"])
-    return out.select("null_model", "n", *[r6(c).alias(c) for c in ("observed", "null_mean", "null_sd", "z", "empirical_p")])
+    parts = [("shuffled scores", null_a(x), obs), ("shuffled edge weights", null_b_prime(x, False), obs), ("shuffled targets", null_c(x), observed_c)]
+    out = None
+    for name, null, observed in parts:
+        part = _empirical(null, observed, name)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _empirical(null: DataFrame, observed: F.Column, name: str) -> DataFrame:
+    out = K.empirical_p_z(null, observed)
+    return out.select(F.lit(name).alias("null_model"), "n", *[r6(c).alias(c) for c in ("observed", "null_mean", "null_sd", "z", "empirical_p")])
+
+
+@query("i09_null_summary_rewired")
+def _(x: Inputs) -> DataFrame:
+    """Empirical p and Z against degree-preserving rewired networks (null B)."""
+    obs = x.pair_base.agg(F.max("score").alias("o")).scalar()
+    return _empirical(null_b(x), obs, "rewired network")
 
 
 @query(

@@ -145,6 +145,33 @@ def test_centralities_on_a_path(spark):
     assert {comp[v] for v in "abcde"} == {"a"} and comp["z"] == "z"
 
 
+def test_betweenness_in_batches_equals_path_counting(spark):
+    """Random weighted graph with ties, two parts and a lone vertex, three sources at a time, against all shortest paths."""
+    rng = np.random.default_rng(3)
+    names = [f"n{i}" for i in range(13)]
+    pairs = {tuple(sorted(map(int, rng.choice(10, 2, replace=False)))) for _ in range(18)} | {(10, 11)}
+    weight = {p: float(rng.integers(1, 4)) for p in pairs}
+    edges = spark.createDataFrame([(names[a], names[b], w) for (a, b), w in weight.items()], "source string, target string, weight double")
+    d = np.full((13, 13), np.inf)
+    np.fill_diagonal(d, 0)
+    for (a, b), w in weight.items():
+        d[a, b] = d[b, a] = w
+    for k in range(13):
+        d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1])
+    paths = np.zeros((13, 13))
+    for s in range(13):
+        for v in sorted(range(13), key=lambda v: d[s, v]):
+            paths[s, v] = 1 if s == v else sum(paths[s, u] for u in range(13) if (min(u, v), max(u, v)) in weight and np.isfinite(d[s, u]) and d[s, u] + weight[min(u, v), max(u, v)] == d[s, v])
+    want = np.zeros(13)
+    for s, t, v in ((s, t, v) for s in range(13) for t in range(13) for v in range(13) if len({s, t, v}) == 3 and paths[s, t]):
+        if d[s, v] + d[v, t] == d[s, t]:
+            want[v] += paths[s, v] * paths[v, t] / paths[s, t]
+    verts = spark.createDataFrame([(x,) for x in names], "v string")
+    for batch in (3, 100):
+        got = {r["v"]: r["betweenness"] for r in G.betweenness(edges, verts, batch_sources=batch).collect()}
+        assert [got[x] for x in names] == pytest.approx(list(want / (12 * 11)))
+
+
 def test_rewiring_keeps_degrees(spark):
     rng = np.random.default_rng(5)
     pairs = {tuple(sorted(map(int, rng.choice(12, 2, replace=False)))) for _ in range(30)}
