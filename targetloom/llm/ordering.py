@@ -15,10 +15,11 @@ def number_within(rows: DataFrame, by: str, order: Sequence[str], out: str = "po
     The rows are range-partitioned on (by, order), so a key that holds a third of all rows spreads over a third of the
     ranges, and numbered range by range.  Only the first key of a range can have rows in earlier ones: the offsets that
     are broadcast are at most one row per range.  Rows equal in ``by`` and ``order`` are dealt over ranges as well and
-    take any order, so they have to be interchangeable.  ``by`` must not be null.  The ranged rows are written once.
+    take any order, so they have to be interchangeable.  ``by`` must not be null.  The rows are written before they are sampled
+for the borders of the ranges, so what they are computed from is read once, and written again with their range.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = rows.withColumn("_salt", F.monotonically_increasing_id())
+    salted = cut_lineage(rows.withColumn("_salt", F.monotonically_increasing_id()))
     ranged = salted.repartitionByRange(parts, by, *order, "_salt").drop("_salt").withColumn("_range", F.spark_partition_id())
     ranged = cut_lineage(ranged)
     sizes = ranged.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n"))
