@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from targetloom.functions.numeric import keyed_uniform
 from targetloom.operators.boosting import Member, Trees, fit_trees, predict
 from targetloom.operators.pairs import block_tiles, packed_blocks
+from targetloom.operators.permutation import numbered, round_keys, shuffled_place
 from targetloom.operators.prefix import exact_quantiles, medians, running_sums
 from targetloom.session import cut_lineage
 
@@ -102,16 +103,30 @@ def group_split(df: DataFrame, key: str, val: float = 0.1, test: float = 0.1, se
 
 
 def row_split(df: DataFrame, key: str, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
-    """Independent rows: the label comes from the row's own keyed draw, no ordering of the table needed."""
-    u = keyed_uniform(seed, key)
-    return df.withColumn("split", F.when(u < test, "test").when(u < test + val, "val").otherwise("train"))
+    """Independent rows with exactly the rounded counts in test and val: rows are numbered by their unique key and dealt
+    out by a keyed bijection of the places, so nothing is sorted by a draw."""
+    rows = numbered(df, [key])
+    n = rows.count()
+    n_test, n_val = round(n * test), round(n * val)
+    at = shuffled_place(F.col("_place"), n, round_keys(seed))
+    out = rows.withColumn("_at", at)
+    return out.withColumn("split", F.when(F.col("_at") < n_test, "test").when(F.col("_at") < n_test + n_val, "val").otherwise("train")).drop("_place", "_at")
 
 
 def unseen_both_split(df: DataFrame, a: str, b: str, val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
-    """Rows whose two groups carry the same label; mixed rows are dropped."""
+    """Rows whose two groups carry the same label; mixed rows are dropped.  A split without rows is an error."""
     la = _cut_labels(df, a, val, test, seed).withColumnRenamed("split", "_sa")
     lb = _cut_labels(df, b, val, test, seed + 1).withColumnRenamed("split", "_sb")
-    return df.join(la, a).join(lb, b).where(F.col("_sa") == F.col("_sb")).withColumn("split", F.col("_sa")).drop("_sa", "_sb")
+    out = cut_lineage(df.join(la, a).join(lb, b).where(F.col("_sa") == F.col("_sb")).withColumn("split", F.col("_sa")).drop("_sa", "_sb"))
+    if out.select("split").distinct().count() < 3:
+        raise ValueError("a split has no rows: more groups or other shares are needed")
+    return out
+
+
+def candidate_sample(rows: DataFrame, keys: Sequence[str], size: int, seed: int = 42) -> DataFrame:
+    """Distinct candidates of the test split in keyed-draw order, cut to ``size`` (all where there are fewer)."""
+    pool = rows.where("split = 'test'").select(*keys).distinct()
+    return pool.orderBy(keyed_uniform(seed, *keys), *keys).limit(size)
 
 
 def unseen_drug_split(df: DataFrame, a: str = "drug_row", b: str = "drug_col", val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:

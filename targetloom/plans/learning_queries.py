@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from targetloom.functions.numeric import keyed_uniform, r6
+from targetloom.functions.numeric import r6
 from targetloom.operators import learning as L
 from targetloom.operators.boosting import Member, fit_trees, importances, predict
+from targetloom.operators.permutation import GRID_SQL, KEYS_SQL, PLACE_SQL
 from targetloom.operators.prefix import average_ranks
 from targetloom.operators.ranking import spearman
 from targetloom.plans.registry import query
@@ -112,11 +113,13 @@ def _label_cte(name: str, key: str, src: str, seed: int) -> str:
 
 @query(
     "k25_splits",
-    f"""WITH {_label_cte('lp', 'l_partkey', 'lineitem', 42)}, {_label_cte('ls', 'l_suppkey', 'lineitem', 42)}, {_label_cte('ls2', 'l_suppkey', 'lineitem', 43)}
+    f"""WITH base AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events), dom AS {GRID_SQL.format(base='base')},
+        shuffled AS (SELECT n, {PLACE_SQL} AS dst FROM base CROSS JOIN dom CROSS JOIN (SELECT {KEYS_SQL.format(parts="'42'")} AS ks) q),
+        {_label_cte('lp', 'l_partkey', 'lineitem', 42)}, {_label_cte('ls', 'l_suppkey', 'lineitem', 42)}, {_label_cte('ls2', 'l_suppkey', 'lineitem', 43)}
         SELECT 'unseen perturbation' AS kind, split, count(*) AS n FROM lineitem JOIN lp ON k = l_partkey GROUP BY 2
         UNION ALL SELECT 'unseen context', split, count(*) FROM lineitem JOIN ls ON k = l_suppkey GROUP BY 2
         UNION ALL SELECT 'unseen both', lp.split, count(*) FROM lineitem JOIN lp ON lp.k = l_partkey JOIN ls2 ON ls2.k = l_suppkey WHERE lp.split = ls2.split GROUP BY 2
-        UNION ALL SELECT 'iid', split, count(*) FROM (SELECT CASE WHEN u < 0.1 THEN 'test' WHEN u < 0.2 THEN 'val' ELSE 'train' END AS split FROM (SELECT {_U.format(keys="'42', CAST(event_id AS VARCHAR)")} AS u FROM events) e) i GROUP BY 2""",
+        UNION ALL SELECT 'iid', CASE WHEN dst < round_even(n * 0.1, 0) THEN 'test' WHEN dst < 2 * round_even(n * 0.1, 0) THEN 'val' ELSE 'train' END, count(*) FROM shuffled GROUP BY 2""",
 )
 def _(x: Inputs) -> DataFrame:
     rows = x.lineitem.select("l_partkey", "l_suppkey")
@@ -271,11 +274,12 @@ def _(x: Inputs) -> DataFrame:
 
 @query(
     "k34_candidate_sample",
-    f"""SELECT candidate FROM (SELECT DISTINCT candidate FROM predictions) c ORDER BY {_U.format(keys="'42', candidate")}, candidate LIMIT 50""",
+    f"""WITH {_DRUG_SPLIT} SELECT drug_row, drug_col, cell_line_name FROM (SELECT DISTINCT drug_row, drug_col, cell_line_name FROM sp WHERE split = 'test') c
+        ORDER BY {_U.format(keys="'42', drug_row, drug_col, cell_line_name")}, drug_row, drug_col, cell_line_name LIMIT 200""",
 )
 def _(x: Inputs) -> DataFrame:
-    """Sampling operator: candidates in keyed-hash order, cut to the sample size."""
-    return x.predictions.select("candidate").distinct().orderBy(keyed_uniform(42, "candidate"), "candidate").limit(50)
+    """Sampling operator: candidates of the test split in keyed-hash order, cut to the sample size."""
+    return L.candidate_sample(L.unseen_drug_split(x.drugcomb), ["drug_row", "drug_col", "cell_line_name"], 200)
 
 
 @query("k35_index_map", "SELECT drug, dense_rank() OVER (ORDER BY drug) - 1 AS index FROM (SELECT DISTINCT lower(drug) AS drug FROM interactions) d")

@@ -97,6 +97,18 @@ def test_splits_are_disjoint(spark):
     assert sorted(r["count"] for r in folds) == [5, 6, 6, 6]
 
 
+def test_row_split_has_exact_counts_and_empty_splits_are_refused(spark):
+    df = spark.range(1003).select((F.col("id") * 7 - 50).alias("key"))
+    counts = {r["split"]: r["count"] for r in L.row_split(df, "key", 0.15, 0.2).groupBy("split").count().collect()}
+    assert counts == {"test": 201, "val": 150, "train": 652}
+    pairs = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "p string, q string")
+    with pytest.raises(ValueError, match="no rows"):
+        L.unseen_both_split(pairs, "p", "q", 0.3, 0.3)
+    rows = spark.createDataFrame([(f"d{i % 9}", "test" if i % 3 else "train") for i in range(60)], "drug string, split string")
+    test = {r.drug for r in rows.where("split = 'test'").collect()}
+    assert {r.drug for r in L.candidate_sample(rows, ["drug"], 50).collect()} == test and L.candidate_sample(rows, ["drug"], 2).count() == 2
+
+
 def test_patient_ids_as_barcode_fragments(spark):
     from targetloom.operators.cohort import altered_genes_by_fragment
 
