@@ -22,8 +22,14 @@ NEAR_WORDS = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier keeps; null and blank texts go."""
-    return score_quality(docs).where("keep").select(*docs.columns)
+    """Documents that the weak-label classifier keeps; null, empty and blank texts go, whatever else the row holds.
+
+    Rows with null or repeated identifiers are judged by their text alone; an empty table stays empty; other columns
+    come back as they were, also where they are named as the classifier's own.
+    """
+    inside = {c: c if c in ("doc_id", "text") else f"column_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in inside.items()])
+    return score_quality(renamed).where("keep").select(*[F.col(name).alias(c) for c, name in inside.items()])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +43,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 35 words or more that are met elsewhere; n_chars counts what is left."""
-    return drop_passages(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Texts without the passages of 35 words or more that are met elsewhere; n_chars, where there is one, counts what is left."""
+    left = drop_passages(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
