@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from targetloom.llm import grid_order, weak_labels
 from tests.llm import brute
@@ -97,3 +98,20 @@ def test_pipeline_stages(spark):
     left = {i: n - gone for i, n, gone, _ in brute.cut_words([(r.doc_id, r.text) for r in near.collect()], 35)}
     assert tokens == left
     assert {r.doc_id for r in stages["packed"](spark, cut, "").collect()} == set(tokens)
+
+
+def test_quality_stage_gives_clashing_columns_back(spark):
+    """Columns named as the classifier's own, null and repeated identifiers, an empty table and one without n_chars."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(pipeline.STAGES)
+    rows = [*brute.awkward(11), *[(700 + i, "&&& *** " * 60) for i in range(4)]]
+    plain = brute.documents(spark, rows)
+    names = ("keep", "score", "posterior", "_scored", "column_3", "slots")
+    clashing = plain.select("*", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.md5("text"), F.lit("none"))).alias(c) for c in names])
+    want = sorted((str(r.doc_id), r.text) for r in stages["quality"](spark, plain, "").collect())
+    got = stages["quality"](spark, clashing, "")
+    assert got.columns == clashing.columns and got.dtypes == clashing.dtypes
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == want and want
+    assert got.where(" or ".join(f"`{c}` <> concat('{c} of ', md5(text))" for c in names)).isEmpty()
+    assert stages["quality"](spark, clashing.where("false"), "").count() == 0
+    assert stages["passages"](spark, plain.drop("n_chars").where("doc_id < 12"), "").columns == [c for c in plain.columns if c != "n_chars"]
