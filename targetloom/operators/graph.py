@@ -177,59 +177,79 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return tot.agg(F.sum(part).alias("modularity"))
 
 
-def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: float = 1.0, max_levels: int = 4, max_rounds: int = 8) -> DataFrame:
-    """(v, community): synchronous local moving and contraction; a community is named after its smallest member.
-
-    In a round only half of the vertices (by a keyed coin) may move, so two neighbours do not swap forever.
+def settled_moves(links: DataFrame, resolution: float = 1.0, max_rounds: int = 1000, level: int = 0) -> tuple[DataFrame, list[float]]:
+    """((v, c), modularity after each round): local moving until no vertex gains by leaving its community.
+
+    ``links`` hold both directions of every edge, loops once with twice their weight.  A round first moves half of the
+    vertices that gain (by a keyed coin) at once.  Where that would not raise the modularity, it makes only the moves
+    that are the best of all moves into or out of both their communities: these share no community, so their gains add
+    up exactly, and the best move of all is always among them.  The modularity therefore rises in every round, and an
+    error tells that ``max_rounds`` were not enough.
     """
-    verts = vertices_of(edges, vertices)
-    member = cut_lineage(verts.select("v", F.col("v").alias("node")))
-    level_edges = cut_lineage(canonical_edges(edges).select("source", "target", "weight"))
-    loops: DataFrame | None = None
-    for level in range(max_levels):
-        links = both_ways(level_edges)
-        if loops is not None:
-            links = links.unionByName(loops.select(F.col("v").alias("u"), "v", (F.col("w") * 2).alias("w")))
-        links = cut_lineage(links)
-        degree = cut_lineage(links.groupBy("u").agg(F.sum("w").alias("k")))
-        m2 = degree.agg(F.sum("k")).first()[0]
-        if not m2:
+    degree = cut_lineage(links.groupBy(F.col("u").alias("v")).agg(F.sum("w").alias("k")))
+    m2 = degree.agg(F.sum("k")).first()[0]
+    comm = cut_lineage(degree.select("v", F.col("v").alias("c")))
+    if not m2:
+        return comm, []
+
+    def quality(labels: DataFrame) -> float:
+        ends = labels.select(F.col("v").alias("u"), F.col("c").alias("cu"))
+        inside = links.join(ends, "u").join(labels, "v").where(F.col("cu") == F.col("c")).agg(F.sum("w").alias("x"))
+        part = F.col("k") / m2
+        spread = degree.join(labels, "v").groupBy("c").agg(F.sum("k").alias("k")).agg(F.sum(part * part).alias("x"))
+        return (inside.first()[0] or 0.0) / m2 - resolution * spread.first()[0]
+
+    now, path = quality(comm), []
+    for step in range(max_rounds):
+        state = degree.join(comm, "v")
+        totals = state.groupBy("c").agg(F.sum("k").alias("tot"))
+        near = links.where(F.col("u") != F.col("v")).join(comm.select("v", F.col("c").alias("nc")), "v").groupBy("u", "nc").agg(F.sum("w").alias("kin"))
+        own = state.select(F.col("v").alias("u"), F.col("c").alias("nc"), F.lit(0.0).alias("kin"))
+        cand = near.unionByName(own).groupBy("u", "nc").agg(F.sum("kin").alias("kin"))
+        cand = cand.join(state.select(F.col("v").alias("u"), "k", "c"), "u").join(totals.withColumnRenamed("c", "nc"), "nc")
+        rest = F.col("tot") - F.when(F.col("nc") == F.col("c"), F.col("k")).otherwise(0.0)
+        cand = cand.withColumn("gain", F.round(F.col("kin") - resolution * F.col("k") * rest / m2, 9))
+        best = cand.groupBy("u").agg(
+            F.max("gain").alias("g"), F.min_by("nc", F.struct(-F.col("gain"), F.col("nc"))).alias("to"),
+            F.max(F.when(F.col("nc") == F.col("c"), F.col("gain"))).alias("stay"), F.first("c").alias("c"),
+        )
+        best = best.select(F.col("u").alias("v"), "c", "to", (F.col("g") - F.col("stay")).alias("more"), keyed_uniform(level, step, "u").alias("coin"))
+        best = cut_lineage(best)
+        wants = best.where(F.col("more") > 1e-8)
+        if wants.isEmpty():
+            return comm, path
+        bulk = F.when((F.col("more") > 1e-8) & (F.col("coin") < 0.5), F.col("to")).otherwise(F.col("c"))
+        moved = cut_lineage(best.select("v", bulk.alias("c")))
+        after = quality(moved)
+        if after <= now + 1e-12:
+            rank = F.struct("more", "coin", "v")
+            top = wants.select(F.explode(F.array("c", "to")).alias("x"), rank.alias("rank")).groupBy("x").agg(F.max("rank").getField("v").alias("first"))
+            alone = wants.join(top.toDF("c", "out"), "c").join(top.toDF("to", "in"), "to").where((F.col("out") == F.col("v")) & (F.col("in") == F.col("v")))
+            moved = best.select("v", "c").join(alone.select("v", "to"), "v", "left").select("v", F.coalesce("to", "c").alias("c"))
+            moved = cut_lineage(moved)
+            after = quality(moved)
+        comm, now = moved, after
+        path.append(now)
+    raise RuntimeError(f"local moving has not settled within {max_rounds} rounds")
+
+
+def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: float = 1.0, max_rounds: int = 1000) -> DataFrame:
+    """(v, community): local moving (``settled_moves``) and contraction until nothing merges; a community is named after its smallest member."""
+    edges = cut_lineage(edges.select("source", "target", "weight"))
+    member = cut_lineage(vertices_of(edges, vertices).select("v", F.col("v").alias("node")))
+    links = cut_lineage(both_ways(canonical_edges(edges)))
+    level = 0
+    while True:
+        comm, path = settled_moves(links, resolution, max_rounds, level)
+        if not path:
             break
-        comm = cut_lineage(degree.select(F.col("u").alias("v"), F.col("u").alias("c")))
-        for step in range(max_rounds):
-            state = degree.withColumnRenamed("u", "v").join(comm, "v")
-            totals = state.groupBy("c").agg(F.sum("k").alias("tot"))
-            near = links.where(F.col("u") != F.col("v")).join(comm.select("v", F.col("c").alias("nc")), "v").groupBy("u", "nc").agg(F.sum("w").alias("kin"))
-            own = state.select(F.col("v").alias("u"), F.col("c").alias("nc"), F.lit(0.0).alias("kin"))
-            cand = near.unionByName(own).groupBy("u", "nc").agg(F.sum("kin").alias("kin"))
-            cand = cand.join(state.select(F.col("v").alias("u"), "k", "c"), "u").join(totals.withColumnRenamed("c", "nc"), "nc")
-            rest = F.col("tot") - F.when(F.col("nc") == F.col("c"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("kin") - resolution * F.col("k") * rest / m2, 9)
-            cand = cand.withColumn("gain", gain)
-            best = cand.groupBy("u").agg(
-                F.max("gain").alias("g"), F.min_by("nc", F.struct(-F.col("gain"), F.col("nc"))).alias("to"),
-                F.max(F.when(F.col("nc") == F.col("c"), F.col("gain"))).alias("stay"), F.first("c").alias("c"),
-            )
-            coin = keyed_uniform(level, step, "u") < 0.5
-            move = (F.col("g") > F.col("stay") + 1e-9) & coin
-            moved = cut_lineage(best.select(F.col("u").alias("v"), F.when(move, F.col("to")).otherwise(F.col("c")).alias("c"), (F.col("g") > F.col("stay") + 1e-9).alias("wants")))
-            comm = moved.select("v", "c")
-            if moved.where("wants").isEmpty():
-                break
-        names = comm.groupBy("c").agg(F.min("v").alias("name"))
-        comm = cut_lineage(comm.join(names, "c").select(F.col("v").alias("node"), F.col("name").alias("to")))
-        before, after = comm.count(), comm.select("to").distinct().count()
+        names = comm.groupBy("c").agg(F.min("v").alias("to"))
+        comm = cut_lineage(comm.join(names, "c").select(F.col("v").alias("node"), "to"))
         member = cut_lineage(member.join(comm, "node", "left").select("v", F.coalesce("to", "node").alias("node")))
-        if after == before:
-            break
-        a = comm.select(F.col("node").alias("source"), F.col("to").alias("a"))
-        b = comm.select(F.col("node").alias("target"), F.col("to").alias("b"))
-        lifted = cut_lineage(level_edges.join(a, "source").join(b, "target").select("a", "b", "weight"))
-        inner = lifted.where(F.col("a") == F.col("b")).select(F.col("a").alias("v"), F.col("weight").alias("w"))
-        if loops is not None:
-            inner = inner.unionByName(loops.withColumnRenamed("v", "node").join(comm, "node").select(F.col("to").alias("v"), "w"))
-        loops = cut_lineage(inner.groupBy("v").agg(F.sum("w").alias("w")))
-        level_edges = cut_lineage(lifted.where(F.col("a") != F.col("b")).groupBy(F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target")).agg(F.sum("weight").alias("weight")))
+        a, b = comm.toDF("u", "a"), comm.toDF("v", "b")
+        # both directions of an inner edge fall on one loop, which so carries twice the weight
+        links = cut_lineage(links.join(a, "u").join(b, "v").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("w").alias("w")))
+        level += 1
     first = member.groupBy("node").agg(F.min("v").alias("community"))
     return member.join(first, "node").select("v", "community")
 

@@ -12,9 +12,8 @@ from targetloom.plans.registry import query
 from targetloom.plans.robustness_queries import NULLS, null_b
 from targetloom.plans.roles import ROLE_SQL, Inputs
 
-ROLE_SQL["sparse_links"] = """SELECT DISTINCT concat('c', CAST(o_custkey AS VARCHAR(20))) AS source, concat('p', CAST(l_partkey AS VARCHAR(20))) AS target,
-    CASE WHEN l_returnflag = 'R' THEN -1.0 ELSE 1.0 END AS weight
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 48 AND l_discount >= 0.095"""
+ROLE_SQL["signed_links"] = """SELECT concat('c', CAST(o_custkey AS VARCHAR(20))) AS source, concat('p', CAST(l_partkey AS VARCHAR(20))) AS target,
+    CAST(sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS DOUBLE) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey"""
 ROLE_SQL["evidence_rows"] = """SELECT p_brand AS source, concat('Brand#', CAST(1 + l_suppkey % 25 AS VARCHAR(20))) AS target,
     CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount - 0.05 END AS e1, l_tax AS e2, l_extendedprice / 100 AS score FROM lineitem JOIN part ON l_partkey = p_partkey"""
 _ENDS = "SELECT source AS v, weight FROM graph_edges UNION ALL SELECT target, weight FROM graph_edges"
@@ -54,25 +53,29 @@ def _(x: Inputs) -> DataFrame:
     return G.louvain(x.edges)
 
 
-@query(
-    "g05_connected_components",
-    """WITH RECURSIVE e AS (SELECT source AS a, target AS b FROM sparse_links UNION SELECT target, source FROM sparse_links),
-       r(v, l) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.l FROM r JOIN e ON e.a = r.v) SELECT v, min(l) AS component FROM r GROUP BY v""",
-)
+def _label_sql(role: str, rounds: int = 16) -> str:
+    """Check text of components: ``rounds`` steps of the smallest label, enough while no component is wider than that."""
+    steps = [f"""b AS MATERIALIZED (SELECT source AS u, target AS v FROM {role} UNION SELECT target, source FROM {role}),
+        c0 AS MATERIALIZED (SELECT DISTINCT u AS v, u AS c FROM b)"""]
+    for i in range(1, rounds + 1):
+        steps.append(f"c{i} AS MATERIALIZED (SELECT o.v, least(o.c, min(n.c)) AS c FROM c{i - 1} o JOIN b ON b.u = o.v JOIN c{i - 1} n ON n.v = b.v GROUP BY o.v, o.c)")
+    return "WITH " + ", ".join(steps) + f", r AS (SELECT v, c FROM c{rounds})"
+
+
+@query("g05_connected_components", f"{_label_sql('graph_edges')} SELECT v, c AS component FROM r")
 def _(x: Inputs) -> DataFrame:
-    return G.connected_components(x.sparse_links)
+    return G.connected_components(x.graph_edges)
 
 
 @query(
     "d33_graph_summary",
-    """WITH RECURSIVE e AS (SELECT source AS a, target AS b FROM sparse_links UNION SELECT target, source FROM sparse_links),
-       r(v, l) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.l FROM r JOIN e ON e.a = r.v), c AS (SELECT v, min(l) AS c FROM r GROUP BY v)
-       SELECT (SELECT count(*) FROM c) AS n_nodes, count(*) AS n_edges, round(2 * count(*) / (SELECT count(*) FROM c), 6) AS mean_degree,
-              round(2 * count(*) / ((SELECT count(*) FROM c) * ((SELECT count(*) FROM c) - 1)), 6) AS density, (SELECT count(DISTINCT c) FROM c) AS n_components,
-              CAST(sum(CASE WHEN weight > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_positive, CAST(sum(CASE WHEN weight < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative FROM sparse_links""",
+    f"""{_label_sql('signed_links')}, n AS (SELECT count(*) AS n, count(DISTINCT c) AS k FROM r)
+       SELECT (SELECT n FROM n) AS n_nodes, count(*) AS n_edges, round(2 * count(*) / (SELECT n FROM n), 6) AS mean_degree,
+              round(2 * count(*) / ((SELECT n FROM n) * ((SELECT n FROM n) - 1)), 6) AS density, (SELECT k FROM n) AS n_components,
+              CAST(sum(CASE WHEN weight > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_positive, CAST(sum(CASE WHEN weight < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_negative FROM signed_links""",
 )
 def _(x: Inputs) -> DataFrame:
-    out = G.graph_summary(x.sparse_links)
+    out = G.graph_summary(x.signed_links)
     return out.select("n_nodes", "n_edges", r6("mean_degree").alias("mean_degree"), r6("density").alias("density"), "n_components", "n_positive", "n_negative")
 
 

@@ -132,6 +132,36 @@ def test_louvain_two_triangles(spark):
     assert len({got["EGFR"], got["JAK1"], got["LONE"]}) == 3
 
 
+def test_louvain_rises_every_round_and_finds_planted_groups(spark):
+    """Four planted groups of 12 and a star whose arms would all swap at once: modularity, recomputed here, never falls and no single move is left."""
+    rng = np.random.default_rng(5)
+    rows = [(f"v{i:02}", f"v{j:02}", 1.0) for i in range(48) for j in range(i) if rng.random() < (0.7 if i // 12 == j // 12 else 0.04)]
+    rows += [("hub", f"arm{i}", 1.0) for i in range(8)]
+    edges = spark.createDataFrame(rows, "source string, target string, weight double")
+    comm, path = G.settled_moves(G.both_ways(G.canonical_edges(edges)))
+    assert path and all(b > a for a, b in zip(path, path[1:]))
+
+    def quality(labels):
+        m = len(rows)
+        k = {}
+        for a, b, _ in rows:
+            for v in (a, b):
+                k[labels[v]] = k.get(labels[v], 0) + 1
+        return sum(labels[a] == labels[b] for a, b, _ in rows) / m - sum((x / (2 * m)) ** 2 for x in k.values())
+
+    labels = {r["v"]: r["c"] for r in comm.collect()}
+    assert path[-1] == pytest.approx(quality(labels))
+    for v in labels:
+        assert all(quality({**labels, v: c}) <= path[-1] + 1e-8 for c in set(labels.values()))
+    found = G.louvain(edges)
+    got = {r["v"]: r["community"] for r in found.collect()}
+    assert {got[f"v{i:02}"] for i in range(48)} == {"v00", "v12", "v24", "v36"} and all(got[f"v{i:02}"] == f"v{i // 12 * 12:02}" for i in range(48))
+    assert {got["hub"], *(got[f"arm{i}"] for i in range(8))} == {"arm0"}
+    assert quality(got) >= path[-1] - 1e-12 and G.modularity(edges, found).first()[0] == pytest.approx(quality(got))
+    with pytest.raises(RuntimeError):
+        G.settled_moves(G.both_ways(G.canonical_edges(edges)), max_rounds=1)
+
+
 def test_centralities_on_a_path(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("d", "e", 1.0)], "source string, target string, weight double")
     got = {r["v"]: r["betweenness"] for r in G.betweenness(edges).collect()}
