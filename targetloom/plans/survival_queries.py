@@ -160,7 +160,7 @@ def _(x: Inputs) -> DataFrame:
 def _(x: Inputs) -> DataFrame:
     rows = cut_lineage(V.standardised(x.surv.select("patient_id", "time", "event", *_COX_FEATURES), _COX_FEATURES))
     fit = V.fit_cox(rows, _COX_FEATURES, ridge=1.0)
-    out = V.permutation_importance(rows, "patient_id", fit, _COX_FEATURES, repeats=2)
+    out = V.permutation_importance(rows, "patient_id", fit, _COX_FEATURES, repeats=15)
     return out.select("feature", F.round("importance", 4).alias("importance"))
 
 
