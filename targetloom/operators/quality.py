@@ -74,6 +74,27 @@ def matrix_orientation(ids: DataFrame, id_col: str, pattern: str, name: str, lim
     return agg.select(*_row(F.lit("PASS"), name, text))
 
 
+def gene_effect_checks(cells: DataFrame, panel: DataFrame, name: str, low: float = -10.0, high: float = 10.0) -> DataFrame:
+    """Orientation and value range of a gene-effect matrix given as (row_id, head, value): row and column names; ``panel``: (gene).
+
+    Columns should carry the genes, plain or as 'GENE (number)': FAIL when panel genes stand in the rows only or nowhere,
+    WARN when some are missing.  Values: FAIL when all are 0, WARN outside [low, high]; no line without values.
+    """
+    genes = panel.select("gene").where("gene is not null").distinct()
+    heads = cells.select(F.split("head", " \\(")[0].alias("gene")).distinct().join(genes, "gene", "left_semi").select(F.lit(1).alias("c"), F.lit(0).alias("r"))
+    sides = cells.select(F.col("row_id").alias("gene")).distinct().join(genes, "gene", "left_semi").select(F.lit(0).alias("c"), F.lit(1).alias("r"))
+    known = genes.select(F.lit(0).alias("c"), F.lit(0).alias("r"), F.lit(1).alias("p"))
+    seen = heads.unionByName(sides).withColumn("p", F.lit(0)).unionByName(known)
+    agg = seen.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("c", "r", "p")])
+    level = F.when(F.col("c") == 0, "FAIL").when(F.col("c") < F.col("p"), "WARN").otherwise("PASS")
+    text = F.when((F.col("c") == 0) & (F.col("r") > 0), F.format_string("backwards: %d panel genes in the rows, none in the columns", "r"))
+    turn = agg.select(*_row(level, f"{name} orientation", F.coalesce(text, F.format_string("%d of %d panel genes in the columns", "c", "p"))))
+    span = cells.where(F.col("value").isNotNull() & ~F.isnan("value")).agg(F.min("value").alias("a"), F.max("value").alias("b")).where("a is not null")
+    zero, wide = (F.col("a") == 0) & (F.col("b") == 0), (F.col("a") < low) | (F.col("b") > high)
+    words = F.when(zero, "all values are 0").when(wide, "values too wide for gene effects").otherwise("values fit gene effects")
+    return turn.unionByName(span.select(*_row(F.when(zero, "FAIL").when(wide, "WARN").otherwise("PASS"), f"{name} values", words)))
+
+
 def edge_scale(edges: DataFrame, weight: str, name: str) -> DataFrame:
     agg = edges.agg(F.max(weight).alias("m"))
     return agg.select(*_row(F.when(F.col("m") > 1.5, "FAIL").otherwise("PASS"), name, F.when(F.col("m") > 1.5, "raw scale").otherwise("scaled to 1")))

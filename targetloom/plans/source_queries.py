@@ -171,6 +171,30 @@ def _(x: Inputs) -> DataFrame:
     return Q.matrix_orientation(x.part, "p_brand", "^[A-Z][a-z]+#[0-9]+$", "orientation")
 
 
+# the matrix the right way round, its transpose, and one of zeros with numbered headers and half of the panel
+ROLE_SQL["effect_cells"] = """SELECT 'upright' AS file, patient_id AS row_id, gene AS head, value / 100.0 AS value FROM expression
+    UNION ALL SELECT 'turned', gene, patient_id, value FROM expression
+    UNION ALL SELECT 'blank', patient_id, concat(gene, ' (17)'), value - value FROM expression WHERE gene < 'Brand#2'"""
+_EFFECT_FILES = ("upright", "turned", "blank")
+
+
+@query(
+    "m06_gene_effect_checks",
+    """WITH p AS (SELECT DISTINCT kinase_id AS gene FROM panel_scores), f AS (SELECT DISTINCT file FROM effect_cells),
+            c AS (SELECT file, count(DISTINCT split_part(head, ' (', 1)) AS c FROM effect_cells WHERE split_part(head, ' (', 1) IN (SELECT gene FROM p) GROUP BY file),
+            r AS (SELECT file, count(DISTINCT row_id) AS r FROM effect_cells WHERE row_id IN (SELECT gene FROM p) GROUP BY file),
+            n AS (SELECT file, coalesce(c, 0) AS c, coalesce(r, 0) AS r, (SELECT count(*) FROM p) AS p FROM f LEFT JOIN c USING (file) LEFT JOIN r USING (file)),
+            v AS (SELECT file, min(value) AS a, max(value) AS b FROM effect_cells GROUP BY file)
+       SELECT CASE WHEN c = 0 THEN 'FAIL' WHEN c < p THEN 'WARN' ELSE 'PASS' END AS level, file || ' orientation' AS check_name,
+              CASE WHEN c = 0 AND r > 0 THEN 'backwards: ' || r || ' panel genes in the rows, none in the columns' ELSE c || ' of ' || p || ' panel genes in the columns' END AS message FROM n
+       UNION ALL SELECT CASE WHEN a = 0 AND b = 0 THEN 'FAIL' WHEN a < -10 OR b > 10 THEN 'WARN' ELSE 'PASS' END, file || ' values',
+              CASE WHEN a = 0 AND b = 0 THEN 'all values are 0' WHEN a < -10 OR b > 10 THEN 'values too wide for gene effects' ELSE 'values fit gene effects' END FROM v""",
+)
+def _(x: Inputs) -> DataFrame:
+    panel = x.panel_scores.select(F.col("kinase_id").alias("gene"))
+    return Q.report([Q.gene_effect_checks(x.effect_cells.where(F.col("file") == f).drop("file"), panel, f) for f in _EFFECT_FILES])
+
+
 @query(
     "a26_combination_rows",
     """SELECT drug_row, drug_col, count(*) AS n, round(avg(synergy_bliss), 6) AS bliss, round(avg(synergy_zip), 6) AS zip FROM drugcomb
