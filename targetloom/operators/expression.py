@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from targetloom.functions.numeric import pearson_p
+from targetloom.operators.factorise import nmf
 from targetloom.operators.pairs import block_tiles, packed_blocks, pearson_pairs
 from targetloom.operators.prefix import medians
 from targetloom.operators.ranking import benjamini_hochberg
@@ -241,55 +242,6 @@ def knn_impute(long: DataFrame, genes: list[str], k: int = 5, block_size: int =
 
 # --- NMF ----------------------------------------------------------------------------------------------------------
 
-def nmf(long: DataFrame, k: int, iterations: int = 30, seed: int = 42, inner: int = 3) -> tuple[DataFrame, pd.DataFrame]:
-    """Non-negative factorisation by multiplicative updates; returns (sample, w array) and the k x gene factor.
-
-    A sample is one row with its packed values.  Each round updates w in a vectorised UDF with the small factor in the
-    closure and sums w v and w w per task; only these k x gene and k x k sums reach the driver.
-    """
-    genes = [r["gene"] for r in long.select("gene").distinct().orderBy("gene").collect()]
-    g_index = {g: i for i, g in enumerate(genes)}
-    m = len(genes)
-    rng = np.random.default_rng(seed)
-    h = rng.random((k, m)) + 0.1
-    packed = F.map_from_entries(F.collect_list(F.struct("gene", "value")))
-    rows = long.groupBy("sample").agg(packed.alias("v"))
-    names = F.array(*[F.lit(g) for g in g_index])
-    rows = rows.select("sample", F.transform(names, lambda g: F.coalesce(F.element_at("v", g), F.lit(0.0))).alias("x"))
-    start = F.array(*[F.lit(0.1 + 0.8 * float(u)) for u in rng.random(k)])
-    state = cut_lineage(rows.withColumn("w", start))
-
-    for _ in range(iterations):
-        factor = h.copy()
-
-        def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hh = factor @ factor.T
-            for pdf in batches:
-                x = np.array(pdf["x"].tolist(), dtype=float)
-                w = np.array(pdf["w"].tolist(), dtype=float)
-                xh = x @ factor.T
-                for _i in range(inner):
-                    w = w * xh / np.maximum(w @ hh, 1e-12)
-                yield pdf.assign(w=list(w))
-
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            wx, ww = np.zeros((k, m)), np.zeros((k, k))
-            for pdf in batches:
-                x = np.array(pdf["x"].tolist(), dtype=float)
-                w = np.array(pdf["w"].tolist(), dtype=float)
-                wx += w.T @ x
-                ww += w.T @ w
-            a, b = np.indices((k, m + k))
-            yield pd.DataFrame({"a": a.ravel(), "b": b.ravel(), "s": np.hstack([wx, ww]).ravel()})
-
-        state = cut_lineage(state.mapInPandas(update, "sample string, x array<double>, w array<double>"))
-        got = state.mapInPandas(sums, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s")).toPandas()
-        full = np.zeros((k, m + k))
-        full[got["a"], got["b"]] = got["s"]
-        h = h * full[:, :m] / np.maximum(full[:, m:] @ h, 1e-12)
-    return state.select("sample", "w"), pd.DataFrame(h, columns=genes)
-
-
 def nmf_clusters(weights: DataFrame, k: int) -> DataFrame:
     """Cluster = component with the highest z-scored loading (population sd); first component on ties."""
     stats = weights.agg(*[f(F.get("w", F.lit(i))).alias(f"{n}{i}") for i in range(k) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
@@ -304,21 +256,38 @@ def nmf_clusters(weights: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("_z", zs).select("sample", (F.array_position("_z", F.array_max("_z")) - 1).cast("int").alias("cluster"))
 
 
-def subtype_run(long: DataFrame, markers: DataFrame, panel: DataFrame, mode: str = "markers_and_panel", k: int = 4, top_n: int = 10, iterations: int = 15) -> dict[str, DataFrame]:
-    """Gene selection (markers_and_panel, most_variable, all) -> NMF clusters -> sizes and marker enrichment."""
-    if mode == "markers_and_panel":
-        genes = markers.select("gene").unionByName(panel.select("gene")).distinct()
-        picked = long.join(genes, "gene", "left_semi")
-    elif mode == "most_variable":
-        picked = long.join(most_variable_genes(long, top_n).select("gene"), "gene", "left_semi")
+def subtype_run(long: DataFrame, markers: DataFrame, mode: str = "marker_only", k: int = 4, top_n: int = 2000, absent: str = "drop") -> dict[str, DataFrame]:
+    """Gene selection (marker_only, highly_variable, all) -> NMF clusters -> sizes and marker enrichment.
+
+    ``absent`` says what a missing cell means: "drop" takes its gene out, "zero" counts it as zero (tables that leave
+    zeros out).  Genes without spread go either way, a negative value is an error.  Enrichment reads every marker of
+    the table, whatever genes the clusters were found on.
+    """
+    if absent not in ("drop", "zero"):
+        raise ValueError(f"unknown rule for missing cells {absent}")
+    measured = cut_lineage(long.where(F.col("value").isNotNull()))
+    n = measured.select("sample").distinct().count()
+    if absent == "drop":
+        matrix = prepared_matrix(measured, n)
+    else:
+        spread = (F.min("value") < F.max("value")) | ((F.count("value") < n) & (F.max("value") > 0))
+        varying = measured.groupBy("gene").agg(spread.alias("varies")).where("varies")
+        checked = F.when(F.col("value") < 0, F.raise_error("negative expression value").cast("double")).otherwise(F.col("value"))
+        matrix = measured.join(varying.select("gene"), "gene", "left_semi").withColumn("value", F.log1p(checked))
+    if mode == "marker_only":
+        picked = matrix.join(markers.select("gene").distinct(), "gene", "left_semi")
+    elif mode == "highly_variable":
+        squares = F.sum(F.col("value") * F.col("value")) - F.sum("value") * F.sum("value") / n
+        top = matrix.groupBy("gene").agg(squares.alias("spread")).orderBy(F.desc("spread"), "gene").limit(top_n)
+        picked = matrix.join(top.select("gene"), "gene", "left_semi")
     elif mode == "all":
-        picked = long
+        picked = matrix
     else:
         raise ValueError(f"unknown gene selection {mode}")
-    weights, _ = nmf(picked.withColumn("value", F.log1p("value")), k, iterations)
-    clusters = nmf_clusters(weights, k)
+    weights, _, _ = nmf(picked.select("sample", "gene", "value"), k)
+    clusters = cut_lineage(nmf_clusters(weights, k))
     return {
         "clusters": clusters,
         "sizes": clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")),
-        "enrichment": marker_enrichment(long, clusters, markers),
+        "enrichment": marker_enrichment(measured, clusters, markers),
     }

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from targetloom.functions.numeric import r6
 from targetloom.operators import expression as X
 from targetloom.operators import ranking as K
+from targetloom.operators.factorise import nmf
 from targetloom.operators.pairs import pearson_pairs
 from targetloom.operators.prefix import exact_quantiles
 from targetloom.plans.registry import query
 from targetloom.plans.roles import ROLE_SQL, Inputs
+from targetloom.session import cut_lineage
 
 ROLE_SQL["tests"] = "SELECT CAST(c_custkey AS BIGINT) AS test_id, round(pow(abs(c_acctbal) / 10000, 3), 5) AS p_value FROM customer"
 ROLE_SQL["gene_pairs_r"] = """SELECT a.gene AS item_a, b.gene AS item_b, corr(a.value, b.value) AS pearson_r, count(*) AS n_samples
@@ -322,11 +326,13 @@ def _(x: Inputs) -> DataFrame:
     """Iterative; planted groups are checked in the tests."""
     v = x.embeddings.select(F.col("vec_id").cast("string").alias("sample"), F.posexplode("embedding").alias("i", "e"))
     long = v.select("sample", F.col("i").cast("string").alias("gene"), F.abs(F.col("e").cast("double")).alias("value"))
-    w, _h = X.nmf(long, 4, iterations=8)
+    w, _h, _loss = nmf(long, 4)
     return X.nmf_clusters(w, 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("k17_subtype_run")
 def _(x: Inputs) -> DataFrame:
-    out = X.subtype_run(_long(x), x.markers, x.gene_class.select("gene"), "most_variable", k=3, top_n=10, iterations=6)
-    return out["enrichment"].select("cluster", "marker_set", r6("score").alias("score"), "best")
+    """Iterative; a brand that a patient never bought has no row and counts as zero.  All three gene selections."""
+    long = cut_lineage(_long(x))
+    runs = [X.subtype_run(long, x.markers, mode, absent="zero")["enrichment"].withColumn("mode", F.lit(mode)) for mode in ("marker_only", "highly_variable", "all")]
+    return reduce(DataFrame.unionByName, runs).select("mode", "cluster", "marker_set", r6("score").alias("score"), "best")

@@ -228,21 +228,6 @@ def test_reverse_duplicate_edge(spark):
     assert G.restricted_edges(spark.createDataFrame(rows, "source string, target string, weight double"), panel).count() == 2
 
 
-def test_nmf_finds_planted_groups(spark):
-    rng = np.random.default_rng(2)
-    data = []
-    for i in range(60):
-        for j in range(9):
-            data.append((f"s{i}", f"g{j}", float((8 if j // 3 == i // 20 else 1) + rng.random())))
-    long = spark.createDataFrame(data, "sample string, gene string, value double")
-    w, _h = X.nmf(long, 3, iterations=12)
-    got = X.nmf_clusters(w, 3).collect()
-    groups: dict[int, list[int]] = {}
-    for r in got:
-        groups.setdefault(r["cluster"], []).append(int(r["sample"][1:]) // 20)
-    assert sum(max(map(g.count, set(g))) for g in groups.values()) / 60 > 0.8
-
-
 def test_knn_blocks_agree(spark):
     rng = np.random.default_rng(4)
     data = [(f"s{i}", f"g{j}", float(rng.integers(0, 9))) for i in range(30) for j in range(5) if rng.random() > 0.15]
