@@ -145,6 +145,15 @@ def cross_class_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(a, "item_a").join(b, "item_b").where(F.col("class_a") != F.col("class_b"))
 
 
+def cross_class_highlights(table: DataFrame, classes: DataFrame, limit: float = 0.05, n: int = 30, enough: int = 10) -> DataFrame:
+    """The ``n`` strongest pairs between classes among the significant ones; among all where fewer than ``enough`` are significant."""
+    pairs = cross_class_pairs(table, classes).withColumn("significant", F.coalesce(F.col("p_value") < limit, F.lit(False)))
+    pairs = cut_lineage(pairs)
+    few = pairs.agg((F.count_if("significant") < enough).alias("few")).scalar()
+    shown = pairs.withColumn("_few", few).where(F.col("significant") | F.col("_few")).drop("_few")
+    return shown.orderBy(F.desc_nulls_last(F.abs("pearson_r")), "item_a", "item_b").limit(n)
+
+
 def pair_rank(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Rank of one pair by |r| among all pairs and among the pairs without a known edge."""
     this = pairs.where((F.col("item_a") == min(a, b)) & (F.col("item_b") == max(a, b))).agg(F.max(F.abs("pearson_r")).alias("x")).scalar()

@@ -192,13 +192,13 @@ def risk_tables(df: DataFrame, features: Sequence[str], by: Sequence[str], betas
     return cum.withColumn("ef", efron_sums(F.col("cum_s0"), F.col("e0"), F.col("d"))).select("*", "ef.*").drop("ef")
 
 
-def fit_cox(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), ridge: float = 0.0, max_rounds: int = 60, tol: float = 1e-7) -> CoxFit:
+def fit_cox(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), ridge: float = 0.0, max_rounds: int = 60, tol: float = 1e-7, strict: bool = True) -> CoxFit:
     """Newton steps on the Efron partial likelihood with penalty ridge x sum(beta^2), all groups in the same jobs.
 
     ``df``: (by, time, event, features).  One round is one aggregate by event time; the driver only sees the
     gradient and Hessian of each group (a few numbers per gene or fold) and halves a step that does not improve.  A group
     is done when its step is below ``tol`` or its likelihood no longer rises in thirteen digits, as with separated
-    events; an error tells of groups that are not done after ``max_rounds``.
+    events; an error tells of groups that are not done after ``max_rounds``, or they stay marked where not ``strict``.
     """
     by, features = list(by), list(features)
     spark, p = df.sparkSession, len(features)
@@ -247,6 +247,8 @@ def fit_cox(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), ridg
                 done = False
         if done:
             return CoxFit(spark, by, features, groups)
+    if not strict:
+        return CoxFit(spark, by, features, groups)
     raise RuntimeError(f"Cox fits have not settled within {max_rounds} rounds: {[g for g, s in groups.items() if not s['converged']][:5]}")
 
 
@@ -322,6 +324,28 @@ def permutation_importance(df: DataFrame, key: str, fit: CoxFit, features: Seque
     return c.groupBy("feature").agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("importance_sd"))
 
 
+def survival_batch(clinical: DataFrame, expression: DataFrame, adjust: Sequence[str], min_events: int = 5, max_rounds: int = 60) -> DataFrame:
+    """Every gene's survival evidence: log-rank and RMST difference at the median, adjusted Cox model, its C-index and check.
+
+    A gene whose Cox model cannot be fitted (no complete row, not settled, no finite interval) keeps its log-rank
+    columns and has null in those of the model; genes with fewer than ``min_events`` events are skipped.
+    """
+    base = cut_lineage(logrank_by_expression(clinical, expression, min_events))
+    features = ["value", *adjust]
+    rows = expression.join(base.select("gene"), "gene", "left_semi").join(clinical, "patient_id").select("gene", "time", "event", *features).dropna()
+    rows = cut_lineage(standardised(rows, features, ["gene"]))
+    fit = fit_cox(rows, features, ["gene"], max_rounds=max_rounds, strict=False)
+    if not fit.groups:
+        nulls = {**{c: F.lit(None).cast("double") for c in ("hr", "hr_low", "hr_high", "p", "c_index")}, "assumption_ok": F.lit(None).cast("boolean")}
+        return base.withColumns(nulls)
+    types = [dict(rows.dtypes)["gene"]]
+    usable = F.col("converged") & (F.col("se") > 0) & (F.abs("beta") < float("inf")) & (F.col("hr_high") < float("inf")) & (F.col("hr_low") > 0)
+    model = fit.table(types).where((F.col("feature") == "value") & usable).select("gene", "hr", "hr_low", "hr_high", "p")
+    c = concordance(predict_risk(rows, fit, features), ["gene"]).select("gene", "c_index")
+    checks = proportional_hazards(rows, fit, features, ["gene"]).groupBy("gene").agg((F.min("p") > 0.05).alias("assumption_ok"))
+    return base.join(model.join(c, "gene", "left").join(checks, "gene", "left"), "gene", "left")
+
+
 def feature_matrix(clinical: DataFrame, expression: DataFrame, genes: Sequence[str], covariates: Sequence[str], subtype: str | None = None) -> tuple[DataFrame, list[str]]:
     """Clinical joined to pivoted expression, rows with a null dropped, subtype one-hot without its first level."""
     wide = expression.where(F.col("gene").isin(*genes)).groupBy("patient_id").pivot("gene", list(genes)).agg(F.first("value"))

@@ -44,8 +44,11 @@ def _(x: Inputs) -> DataFrame:
 
 @query("k02_correlation_network")
 def _(x: Inputs) -> DataFrame:
-    net = X.correlation_network(X.correlation_table(_long(x)), q_limit=1.0, min_abs_r=0.03)
-    return net.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), r6(F.max("weight")).alias("max_weight"))
+    """Redundant and compensatory pairs at the published thresholds, beside the pairs that do not reach them."""
+    table = cut_lineage(X.correlation_table(_long(x)))
+    net = X.correlation_network(table).select("item_a", "item_b", "relation")
+    rows = table.join(net, ["item_a", "item_b"], "left").withColumn("relation", F.coalesce("relation", F.lit("below thresholds")))
+    return rows.groupBy("relation").agg(F.count(F.lit(1)).alias("n"), r6(F.max(F.abs("pearson_r"))).alias("max_weight"))
 
 
 @query(
@@ -101,6 +104,13 @@ def _(x: Inputs) -> DataFrame:
     return X.cross_class_pairs(_pairs(x), x.gene_class).select("item_a", "item_b", "class_a", "class_b", r6("pearson_r").alias("pearson_r"))
 
 
+@query("e16_cross_class_highlights")
+def _(x: Inputs) -> DataFrame:
+    """Significance has no SQL twin; the filter and its fallback are tested on planted pairs."""
+    top = X.cross_class_highlights(X.correlation_table(_long(x)), x.gene_class)
+    return top.select("item_a", "item_b", "class_a", "class_b", r6("pearson_r").alias("pearson_r"), r6("p_value").alias("p_value"), "significant")
+
+
 @query(
     "e17_pair_rank",
     """WITH e AS (SELECT DISTINCT least(source, target) AS s, greatest(source, target) AS t FROM edges),

@@ -82,7 +82,7 @@ ROLE_SQL: dict[str, str] = {
     "reactions": """
         SELECT DISTINCT p_name AS drug, concat('reaction ', CAST(l_suppkey AS VARCHAR(20))) AS reaction
         FROM lineitem JOIN part ON l_partkey = p_partkey
-        WHERE l_returnflag = 'R' AND l_discount >= 0.09""",
+        WHERE l_returnflag = 'R'""",
     "clinical": """
         SELECT concat('P', CAST(c_custkey AS VARCHAR(20))) AS patient_id,
                CASE WHEN n_f * 3 > n_o THEN 'Dead' ELSE 'Alive' END AS vital_status,

@@ -97,6 +97,14 @@ def _(x: Inputs) -> DataFrame:
     return out.select("gene", "n_events", r6("chi2").alias("chi2"), r6("rmst_diff").alias("rmst_diff"))
 
 
+@query("k08_survival_evidence")
+def _(x: Inputs) -> DataFrame:
+    """The whole batch with its Cox models; the log-rank half is checked by k08_survival_batch, the models in the tests."""
+    out = V.survival_batch(x.surv, x.expression, ["stage_numeric", "age", "purity", "tmb"])
+    numbers = ["chi2", "logrank_p", "rmst_diff", "hr", "hr_low", "hr_high", "p", "c_index"]
+    return out.select("gene", "n_events", *[F.round(c, 4).alias(c) for c in numbers], "assumption_ok")
+
+
 @query(
     "k09_subset_survival",
     f"""WITH sub AS (SELECT e.gene, s.time, s.event, CASE WHEN e.value > m.med THEN 1 ELSE 0 END AS hi FROM expression e JOIN surv s ON s.patient_id = e.patient_id AND s.subtype = 'BUILDING'
