@@ -10,13 +10,14 @@ from targetloom.functions.barcodes import FUNNEL_CLASSES, is_primary_tumour, par
 
 
 def one_aliquot_per_participant(barcodes: DataFrame, barcode: str = "barcode") -> DataFrame:
-    """Keep the row of the lexicographically first barcode of each participant.
+    """One row per participant: that of the lexicographically first barcode, of equal barcodes the smallest by the other columns.
 
-    The minimum is combined map-side; the semi join is on the barcode, so no participant is gathered in one task.
+    The minimum is combined map-side, so no participant is gathered in one task.
     """
     keyed = barcodes.withColumn("participant_id", participant_id(barcode))
-    first = keyed.groupBy("participant_id").agg(F.min(barcode).alias(barcode))
-    return keyed.join(first, ["participant_id", barcode], "left_semi")
+    rest = [c for c in barcodes.columns if c != barcode]
+    first = keyed.groupBy("participant_id").agg(F.min(F.struct(barcode, *rest)).alias("r"))
+    return first.select("participant_id", *[F.col("r").getField(c).alias(c) for c in barcodes.columns])
 
 
 def identify_subtype_negative(clinical: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
