@@ -29,6 +29,11 @@ def clip(col: Column, low: float | None = None, high: float | None = None) -> Co
     return out
 
 
+def log_of(log: Column, of: Column) -> Column:
+    """The logarithm ``log`` of ``of`` with minus infinity at zero, where Spark gives null."""
+    return F.when(of == 0, F.lit(float("-inf"))).otherwise(log)
+
+
 def keyed_uniform(*keys: Column | str | int) -> Column:
     """Uniform in (0, 1) that depends on its keys only, so reruns and other engines draw the same number."""
     parts = [F.col(k) if isinstance(k, str) else (k if isinstance(k, Column) else F.lit(k)) for k in keys]

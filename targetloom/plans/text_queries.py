@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from targetloom.functions import text as T
-from targetloom.functions.numeric import clip, r6
+from targetloom.functions.numeric import clip, log_of, r6
 from targetloom.operators import literature as L
 from targetloom.plans.registry import query
 from targetloom.plans.roles import ROLE_SQL, Inputs
@@ -187,7 +187,8 @@ def _(x: Inputs) -> DataFrame:
 def _(x: Inputs) -> DataFrame:
     v = F.col("value")
     return x.events.select(
-        "event_id", r6(F.log1p(v)).alias("a"), r6(F.log2(v)).alias("b"), r6(F.log10(v)).alias("c"), r6(F.exp(-v / 100)).alias("d"), F.signum(v - 50).alias("e"),
+        "event_id", *[log_of(r6(f), of).alias(n) for n, f, of in (("a", F.log1p(v), v + 1), ("b", F.log2(v), v), ("c", F.log10(v), v))],
+        r6(F.exp(-v / 100)).alias("d"), F.signum(v - 50).alias("e"),
         r6(clip(v, 5.0, 100.0)).alias("f"), r6(F.sqrt(F.abs(v - 50))).alias("g"),
     )
 
