@@ -7,6 +7,10 @@ Knowledge enters as tables:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from targetloom.operators.pairs import co_occurrence, unordered_pairs
@@ -88,13 +92,50 @@ def drug_cards(pool: DataFrame, pair_table: DataFrame, drug_gene: DataFrame) ->
     return index.join(lists, "drug").join(drug_gene.select("drug", "gene"), "drug", "left")
 
 
-def regimen_score(n: Column, syn_sum: Column, tox: Column, known: Column, distinct_genes: Column) -> Column:
-    pairs = n * (n - 1) / 2
-    mean = F.when(n < 2, 0.0).otherwise(syn_sum / pairs)
-    bonus = F.when(n > 2, (n - 2) * F.lit(SIZE_STEP)).otherwise(0.0)
-    evidence = F.least(known * F.lit(EVIDENCE_STEP), F.lit(1.0))
-    score = mean + evidence + bonus - tox * F.lit(TOXICITY_STEP) - (n - distinct_genes) * F.lit(DIVERSITY_STEP)
-    return F.round(score, 9)
+def regimen_score(n: int, syn_sum: np.ndarray, tox: np.ndarray, known: np.ndarray, distinct_genes: np.ndarray) -> np.ndarray:
+    mean = syn_sum / (n * (n - 1) / 2) if n > 1 else 0.0
+    evidence = np.minimum(known * EVIDENCE_STEP, 1.0)
+    score = mean + evidence + max(n - 2, 0) * SIZE_STEP - tox * TOXICITY_STEP - (n - distinct_genes) * DIVERSITY_STEP
+    return np.sign(score) * np.floor(np.abs(score) * 1e9 + 0.5) / 1e9  # nine decimals, half away from zero
+
+
+def _best_sets(
+    avail: np.ndarray, synergy: np.ndarray, tox: np.ndarray, known: np.ndarray, gene: np.ndarray, beam_width: int, max_depth: int, top_k: int
+) -> list[tuple[np.ndarray, float, int]]:
+    """Beam search over one pool: (cards in order, score, size), best first.
+
+    States stay in generation order, so the first of equal sets and, by stable sorting, the first of equal scores is kept.
+    """
+    cell = np.ix_(avail, avail)
+    tables = synergy[cell], tox[cell], known[cell]
+    own = gene[avail]
+    members = np.zeros((1, 0), dtype=np.int64)
+    sums = [np.zeros(1, dtype=t.dtype) for t in tables]
+    adds = [np.zeros((1, len(avail)), dtype=t.dtype) for t in tables]  # what each drug would add to a state
+    found = []
+    for depth in range(1, max_depth + 1):
+        free = np.ones((len(members), len(avail)), dtype=bool)
+        np.put_along_axis(free, members, False, axis=1)
+        place, pos = np.nonzero(free)
+        grown = np.column_stack([members[place], pos])
+        code = np.zeros(len(grown), dtype=np.int64)
+        for column in np.sort(grown, axis=1).T:  # numbers each distinct set
+            code = np.unique(code * len(avail) + column, return_inverse=True)[1]
+        first = np.sort(np.unique(code, return_index=True)[1])
+        place, pos, grown = place[first], pos[first], grown[first]
+        if not len(first):
+            break
+        sums = [s[place] + a[place, pos] for s, a in zip(sums, adds)]
+        genes = np.sort(own[grown], axis=1)
+        distinct = 1 + (genes[:, 1:] != genes[:, :-1]).sum(axis=1)
+        score = regimen_score(depth, *sums, distinct)
+        order = np.argsort(-score, kind="stable")[: max(beam_width, top_k)]
+        if depth > 1:
+            found += [(np.sort(avail[grown[i]]), float(score[i]), depth) for i in order[:top_k]]
+        kept = order[:beam_width]
+        members, sums = grown[kept], [s[kept] for s in sums]
+        adds = [a[place[kept]] + t[pos[kept]] for a, t in zip(adds, tables)]
+    return sorted(found, key=lambda f: -f[1])[:top_k]
 
 
 def beam_search(
@@ -102,59 +143,36 @@ def beam_search(
 ) -> DataFrame:
     """Best drug sets of size 2..max_depth per key.  ``pools``: (key, drugs sorted array); ``cards``: see drug_cards.
 
-    Keys with the same pool share one search.  A state is a list of drug indexes with its running sums, so adding a
-    drug reads a few array cells.  Only the surviving states (at most ``beam_width`` per pool) are shuffled, by pool;
-    growing, removing permutations and ranking then run inside that partitioning.  Every depth is written to the
-    checkpoint folder.  Equal scores keep generation order.
+    Keys with the same pool share one search, and the searches are spread over the tasks.  A search grows its states in
+    memory, at most ``beam_width`` times the pool at a time, so no state is shuffled.  The cards, three numbers per drug
+    pair, reach the tasks as one broadcast.  Equal scores keep generation order.
     """
-    index = cards.agg(F.map_from_entries(F.collect_list(F.struct("drug", "idx"))).alias("m")).scalar()
-    names = cards.agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "drug"))), lambda s: s.getField("drug")).alias("n")).scalar()
-    searches = pools.select("drugs").distinct().withColumn("_m", index)
-    searches = searches.select("drugs", F.monotonically_increasing_id().alias("pid"), F.transform("drugs", lambda d: F.element_at(F.col("_m"), d)).alias("avail"))
-    searches = cut_lineage(searches)  # fixes the ids
-    none = F.array().cast("array<int>")
-    frontier = searches.select(
-        "pid", "avail", none.alias("members"), F.array().cast("array<string>").alias("genes"), F.lit(0.0).alias("syn"), F.lit(0).alias("tox"),
-        F.lit(0).alias("known"), F.lit(1).alias("place"),
-    )
-    add_card = cards.select(F.col("idx").alias("drug"), "gene", "partners")
-    # a fixed task count: the survivors are few bytes but grow many-fold, so they must not be coalesced by size
-    tasks = int(pools.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found: DataFrame | None = None
-    for depth in range(1, max_depth + 1):
-        grown = frontier.repartition(tasks, "pid").select("*", F.posexplode(F.array_except("avail", "members")).alias("pos", "drug")).join(add_card, "drug")
-
-        def add(field: str, start: Column) -> Column:
-            return F.aggregate("members", start, lambda acc, m: acc + F.get("partners", m).getField(field))
-
-        grown = grown.select(
-            "pid", "avail", F.concat("members", F.array("drug")).alias("members"),
-            F.array_union("genes", F.array(F.coalesce("gene", F.lit("\u0002none")))).alias("genes"),
-            (F.col("syn") + add("synergy", F.lit(0.0))).alias("syn"),
-            (F.col("tox") + add("tox", F.lit(0))).alias("tox"),
-            (F.col("known") + add("known", F.lit(0))).alias("known"),
-            "place", "pos",
-        )
-        # permutations of one set: keep the first generated
-        state = F.struct("avail", "members", "genes", "syn", "tox", "known", "place", "pos")
-        unique = grown.groupBy("pid", F.array_sort("members").alias("regimen")).agg(F.min_by(state, F.struct("place", "pos")).alias("s"))
-        scored = unique.select("pid", "regimen", "s.*").withColumn(
-            "score", regimen_score(F.lit(depth), F.col("syn"), F.col("tox"), F.col("known"), F.size("genes"))
-        )
-        order = Window.partitionBy("pid").orderBy(F.desc("score"), "place", "pos")
-        ranked = scored.withColumn("new_place", F.row_number().over(order)).where(F.col("new_place") <= max(beam_width, top_k))
-        ranked = cut_lineage(ranked)
-        if depth >= 2:
-            rows = ranked.select("pid", "regimen", "score", F.lit(depth).alias("size"), "new_place")
-            found = rows if found is None else found.unionByName(rows)
-        frontier = ranked.where(F.col("new_place") <= beam_width).select(
-            "pid", "avail", "members", "genes", "syn", "tox", "known", F.col("new_place").alias("place")
-        )
-    final = Window.partitionBy("pid").orderBy(F.desc("score"), "size", "new_place")
-    best = found.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= top_k).withColumn("_n", names)
-    text = F.array_join(F.array_sort(F.transform("regimen", lambda i: F.get(F.col("_n"), i))), " + ")
-    best = best.select("pid", text.alias("regimen"), "score", "size", "rank")
-    return pools.select(key, "drugs").join(searches.select("drugs", "pid"), "drugs").join(best, "pid").select(key, "regimen", "score", "size", "rank")
+    spark = pools.sparkSession
+    rows = cards.select("idx", "drug", "gene", "partners").orderBy("idx").collect()
+    tables = [np.zeros((len(rows), len(rows)), dtype=d) for d in (np.float64, np.int64, np.int64)]
+    for row in rows:
+        for other, *values in row["partners"]:
+            for table, value in zip(tables, values):
+                table[row["idx"], other] = value
+    genes = {g: i for i, g in enumerate(dict.fromkeys(r["gene"] for r in rows))}  # drugs without a gene share one entry
+    shared = spark.sparkContext.broadcast(([r["drug"] for r in rows], *tables, np.array([genes[r["gene"]] for r in rows], dtype=np.int64)))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, *numbers = shared.value
+        index = {name: i for i, name in enumerate(names)}
+        for pdf in batches:
+            out = []
+            for pid, drugs in zip(pdf["pid"], pdf["drugs"]):
+                avail = np.array([index[d] for d in dict.fromkeys(drugs) if d in index], dtype=np.int64)
+                best = _best_sets(avail, *numbers, beam_width, max_depth, top_k)
+                out += [(pid, " + ".join(names[i] for i in s), score, size, rank) for rank, (s, score, size) in enumerate(best, 1)]
+            yield pd.DataFrame(out, columns=["pid", "regimen", "score", "size", "rank"])
+
+    searches = cut_lineage(pools.select("drugs").distinct().select("drugs", F.monotonically_increasing_id().alias("pid")))  # fixes the ids
+    # a fixed task count: pools are few bytes but long work, so they must not be coalesced by size
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    best = cut_lineage(searches.repartition(tasks, "pid").mapInPandas(search, "pid long, regimen string, score double, size int, rank int"))
+    return pools.select(key, "drugs").join(searches, "drugs").join(best, "pid").select(key, "regimen", "score", "size", "rank")
 
 
 def first_class(alterations: DataFrame) -> DataFrame:
