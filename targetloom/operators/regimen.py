@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from targetloom.operators.pairs import co_occurrence, unordered_pairs
 from targetloom.session import cut_lineage
@@ -255,7 +255,7 @@ def patient_combinations(patient_genes: DataFrame, gene_drugs: DataFrame, gene_p
                          drug_toxicity: DataFrame, known_synergy: DataFrame, top_n: int = 15) -> DataFrame:
     """Ranked two-drug combinations per patient: best gene pair per combination in gene order, top_n, pilot flag.
 
-    The gene-pair x drug x drug table depends on the knowledge tables only; patients join to it by gene pair.
+    The gene-pair x drug x drug table depends on the knowledge tables only; each distinct gene set is held against it once.
     """
     sides = gene_drugs.join(gene_class, "gene", "left").select("gene", "drug", "ord", "gene_class")
     genes = unordered_pairs(sides.select("gene", "gene_class").distinct(), "gene").withColumnsRenamed({"gene_1": "gene_a", "gene_2": "gene_b"})
@@ -270,18 +270,26 @@ def patient_combinations(patient_genes: DataFrame, gene_drugs: DataFrame, gene_p
     score = heuristic_synergy(F.coalesce("overlap", F.lit(0)), F.col("gene_class_1"), F.col("gene_class_2"), F.coalesce("boost", F.lit(0.0)))
     table = safety_screen(table.withColumn("score", F.round(score, 3)), drug_toxicity)
     table = table.select("gene_a", "gene_b", "drug_a", "drug_b", "ord_a", "ord_b", "score", "flagged", "toxicity_overlap")
-    lists = patient_genes.groupBy("patient").agg(F.array_sort(F.collect_set("gene")).alias("gs"))
-    gp = lists.select("patient", F.explode("gs").alias("gene_a"), "gs").select(
-        "patient", "gene_a", F.explode(F.filter("gs", lambda g: g > F.col("gene_a"))).alias("gene_b")
-    )
-    rows = gp.join(table, ["gene_a", "gene_b"]).withColumn("combination", F.concat_ws(" + ", "drug_a", "drug_b"))
-    first = rows.groupBy("patient", "combination").agg(
-        F.min_by(F.struct("gene_a", "gene_b", "drug_a", "drug_b", "score", "flagged", "toxicity_overlap"), F.struct("gene_a", "gene_b")).alias("r")
-    ).select("patient", "combination", "r.*")
-    order = Window.partitionBy("patient").orderBy(F.desc("score"), "combination")
-    top = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
-    pilot = F.min(F.when(~F.col("flagged"), F.col("rank"))).over(Window.partitionBy("patient"))
-    return top.withColumn("recommended_first_pilot", F.coalesce(F.col("rank") == pilot, F.lit(False))).withColumn("rationale", rationale())
+    # per combination its gene pairs in gene order; the one row holding all combinations is as large as the knowledge tables
+    table = table.withColumn("combination", F.concat_ws(" + ", "drug_a", "drug_b"))
+    best = F.struct("gene_a", "gene_b", "drug_a", "drug_b", "score", "flagged", "toxicity_overlap", "combination")
+    table = table.groupBy("combination").agg(F.array_sort(F.collect_list(best)).alias("pairs")).agg(F.collect_list("pairs").alias("t")).scalar()
+    patients = patient_genes.groupBy("patient").agg(F.array_sort(F.collect_set("gene")).alias("gs"))
+
+    def carried(pair: Column) -> Column:
+        return F.array_contains("gs", pair.getField("gene_a")) & F.array_contains("gs", pair.getField("gene_b"))
+
+    # patients with the same genes share one ranking, so nothing larger than its top rows is shuffled
+    tasks = 4 * int(patient_genes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = patients.select("gs").distinct().repartition(tasks, "gs").withColumn("_t", table)
+    hits = F.array_compact(F.transform("_t", lambda pairs: F.get(F.filter(pairs, carried), F.lit(0))))
+    hits = F.array_sort(F.transform(hits, lambda r: F.struct((-r.getField("score")).alias("order"), r.getField("combination").alias("combination"), r.alias("r"))))
+    ranked = ranked.select("gs", F.slice(hits, 1, top_n).alias("top"))
+    # the outer form keeps the optimizer from ranking a second time to drop empty lists
+    top = patients.join(ranked, "gs").select("patient", F.posexplode_outer("top").alias("rank", "c"), "top").where("c is not null")
+    first_safe = F.array_position(F.transform("top", lambda c: c.getField("r").getField("flagged")), False)
+    top = top.select("patient", "c.r.*", (F.col("rank") + 1).alias("rank"), F.nullif(first_safe, F.lit(0)).alias("pilot"))
+    return top.withColumn("recommended_first_pilot", F.coalesce(F.col("rank") == F.col("pilot"), F.lit(False))).drop("pilot").withColumn("rationale", rationale())
 
 
 def rationale() -> Column:

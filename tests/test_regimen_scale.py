@@ -31,3 +31,18 @@ def test_wide_pool_finds_the_best_sets_without_shuffling_states(spark):
     assert [r[2] for r in sorted(rows, key=lambda r: (r[0], r[4])) if r[0] == "p"] == top
     assert all(round(want[tuple(r[1].split(" + "))], 9) == r[2] for r in rows)
     assert [r[1:] for r in rows if r[0] == "q"] == [("d00 + d01", pairs["d00", "d01"], 2, 1)] and not [r for r in rows if r[0] == "r"]
+
+
+def test_combinations_are_ranked_before_any_shuffle(spark):
+    frame = spark.createDataFrame
+    genes = frame([(p, g) for p, gs in (("p", "abc"), ("q", "ab"), ("r", "a")) for g in gs], "patient string, gene string")
+    drugs = frame([("a", "x", 1), ("b", "y", 1), ("c", "y", 1)], "gene string, drug string, ord int")
+    out = R.patient_combinations(
+        genes, drugs, frame([("a", "w"), ("c", "w")], "gene string, pathway string"), frame([("a", "RTK"), ("b", "other"), ("c", "INTRA")], "gene string, gene_class string"),
+        frame([("x", "heart"), ("y", "heart")], "drug string, category string"), frame([], "drug_a string, drug_b string, boost double"),
+    )
+    assert "Window" not in _plan(out)
+    # the first gene pair of a combination counts, also where a later one scores higher
+    assert sorted((r["patient"], r["combination"], r["gene_b"], r["score"], r["rank"], r["recommended_first_pilot"]) for r in out.collect()) == [
+        ("p", "x + y", "b", 0.1, 1, False), ("q", "x + y", "b", 0.1, 1, False)
+    ]
