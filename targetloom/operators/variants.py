@@ -32,16 +32,30 @@ def effect_severity(effect: str | Column) -> Column:
 def interval_lookup(points: DataFrame, intervals: DataFrame, chrom: str, pos: str, bin_width: int) -> DataFrame:
     """Add ``interval_gene``: the first interval (by ord) with start <= pos <= end on the same chromosome, or null.
 
-    Intervals are cut into fixed-width bins, so the join is an equi-join on (chrom, bin) whatever the two sizes are.
+    Each interval is cut into its largest aligned pieces of 1, 2, 4, ... positions, up to ``bin_width``, and equal pieces
+    keep only their first interval.  A position then meets at most one row per piece size, however many intervals overlap.
     Only distinct positions are looked up: a position shared by a third of all records costs one row.
     """
-    binned = intervals.withColumn(
-        "_bin", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width)))
-    ).withColumnsRenamed({"chrom": "_chrom"})
-    p = points.select(F.col(chrom).alias("_pc"), F.col(pos).alias("_pp")).distinct().withColumn("_pb", F.floor(F.col("_pp") / bin_width))
-    cond = (F.col("_pc") == F.col("_chrom")) & (F.col("_pb") == F.col("_bin")) & (F.col("_pp") >= F.col("start")) & (F.col("_pp") <= F.col("end"))
-    hits = p.join(binned, cond).groupBy("_pc", "_pp").agg(F.min_by("gene", "ord").alias("interval_gene"))
-    hits = hits.withColumnsRenamed({"_pc": chrom, "_pp": pos})
+    top = bin_width.bit_length() - 1  # pieces have 2^0 to 2^top positions
+    spans = intervals.where(F.col("chrom").isNotNull() & F.col("ord").isNotNull()).groupBy(
+        F.col("chrom").alias("_pc"), F.col("start").cast("long").alias("_s"), F.col("end").cast("long").alias("_e")
+    ).agg(F.min(F.struct("ord", "gene")).alias("_g"))
+
+    def pieces(level: int) -> Column:
+        first, last = F.shiftright(F.col("_s") + ((1 << level) - 1), level), F.shiftright(F.col("_e") + 1, level) - 1
+        if level < top:  # at most two pieces of a size: those whose neighbour of the next size is not wholly inside
+            found = F.array(F.when(first % 2 != 0, first), F.when(last % 2 == 0, last))
+        else:
+            found = F.sequence(first, last)
+        found = F.when(first <= last, found).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(found, lambda b: F.struct(F.lit(level).alias("level"), b.alias("bin")))
+
+    cells = spans.select("_pc", "_g", F.explode(F.concat(*[pieces(level) for level in range(top + 1)])).alias("_c")).select("_pc", "_c.level", "_c.bin", "_g")
+    cells = cells.where("bin is not null").groupBy("_pc", "level", "bin").agg(F.min("_g").alias("_g"))
+    p = points.select(F.col(chrom).alias("_pc"), F.col(pos).cast("long").alias("_pp")).distinct()
+    steps = F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright(F.col("_pp"), level).alias("bin")) for level in range(top + 1)])
+    hits = p.select("_pc", "_pp", F.inline(steps)).join(cells, ["_pc", "level", "bin"])
+    hits = hits.groupBy("_pc", "_pp").agg(F.min("_g").getField("gene").alias("interval_gene")).withColumnsRenamed({"_pc": chrom, "_pp": pos})
     return points.join(hits, [chrom, pos], "left")
 
 
