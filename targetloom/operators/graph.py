@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from targetloom.functions.numeric import keyed_uniform, null_skipping_mean
@@ -51,53 +54,175 @@ def strength(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     return vertices_of(edges, vertices).join(agg, "v", "left").fillna(0, ["n_neighbours"]).fillna(0.0, ["degree"])
 
 
+class _Tiled:
+    """A graph cut into tiles, so that a round of a vertex program moves vectors and never the edges.
+
+    Vertices are numbered in the order of their names; vertex ``p`` is place ``p // g`` of block ``p % g``.  A tile holds the
+    edges between two blocks, about ``TILE_EDGES`` of them, and is written once as a table bucketed by tile.  In a round every
+    block is sent to its ``g`` tiles and a tile sends one vector to each of its two blocks: 2 x g x vertices numbers.
+    """
+
+    TILE_EDGES = 6_000_000
+    LEAST_BLOCKS = 4
+
+    def __init__(self, edges: DataFrame, vertices: DataFrame | None, weighted: bool):
+        spark = edges.sparkSession
+        edges = cut_lineage(edges.select("source", "target", *([F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("w")] if weighted else [])))
+        self.names = numbered(vertices_of(edges, vertices), ["v"], "place")
+        self.n = self.names.count()
+        g = self.g = max(self.LEAST_BLOCKS, math.ceil(math.sqrt(2 * edges.count() / self.TILE_EDGES)))
+        self.columns = ["i", "j"] + (["w"] if weighted else [])
+        placed = edges.join(self.names.select(F.col("v").alias("source"), F.col("place").alias("p")), "source").drop("source")
+        placed = placed.join(self.names.select(F.col("v").alias("target"), F.col("place").alias("q")), "target").drop("target")
+        turn = F.col("p") % g > F.col("q") % g
+        placed = placed.withColumns({"a": F.when(turn, F.col("q")).otherwise(F.col("p")), "b": F.when(turn, F.col("p")).otherwise(F.col("q"))})
+        ends = [((F.col("a") % g) * g + F.col("b") % g).cast("int").alias("tile"), F.floor(F.col("a") / g).cast("int").alias("i"), F.floor(F.col("b") / g).cast("int").alias("j")]
+        buckets = max(g * (g + 1) // 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        columns = self.columns
+
+        def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for tile, cells in pdf.groupby("tile"):
+                    yield pd.DataFrame({"tile": [tile], **{c: [cells[c].to_numpy()] for c in columns}})
+
+        cells = placed.select(*ends, *self.columns[2:]).repartition(buckets, "tile")
+        kinds = "tile int, i array<int>, j array<int>" + (", w array<double>" if weighted else "")
+        self.tiles = cut_lineage(cells.mapInPandas(packed, kinds), bucketed=(buckets, "tile"))
+        sizes = [(k, max(0, -(-(self.n - k) // g))) for k in range(g)]
+        self.blocks = spark.createDataFrame(sizes, "block int, size long")
+
+    def along_edges(self, state: DataFrame, vector: str, kind: str, edge: Callable) -> DataFrame:
+        """(block, part): what ``edge`` makes of the vectors of its two blocks, one row per tile and block of the tile."""
+        g, columns = self.g, self.columns
+        tile = F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda k: (F.least(k, F.col("block")) * g + F.greatest(k, F.col("block"))).cast("int"))
+        sent = state.select(F.explode(tile).alias("tile"), "block", F.col(vector).alias("x"))
+
+        def meet(cells: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+            if not len(cells):
+                return pd.DataFrame({"block": [], "part": []}, dtype=object)
+            x = {int(k): np.asarray(v) for k, v in zip(vectors["block"], vectors["x"])}
+            a, b = divmod(int(cells["tile"].iloc[0]), g)
+            out = edge(x[a], x[b], zip(*[cells[c] for c in columns]))
+            return pd.DataFrame({"block": [a, b], "part": list(out)})
+
+        return self.tiles.groupBy("tile").cogroup(sent.groupBy("tile")).applyInPandas(meet, f"block int, part array<{kind}>")
+
+    def by_name(self, state: DataFrame, vector: str) -> DataFrame:
+        """(v, place, value) from a vector per block."""
+        rows = state.select("block", F.posexplode(vector).alias("at", "value"))
+        return rows.select((F.col("at").cast("long") * self.g + F.col("block")).alias("place"), "value").join(self.names, "place").select("v", "place", "value")
+
+
 def page_rank(edges: DataFrame, vertices: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, tol: float | None = 1e-6, every: int = 5) -> DataFrame:
     """Weighted PageRank of an undirected graph; the mass of isolated vertices is spread evenly.
 
-    Contributions are summed map-side per target, so a hub receives one partial sum per task.  A round reads the
-    ranks three times, so every round is written out; with ``tol`` the L1 change is compared with n x tol every
-    ``every`` rounds, and an error tells that it has not settled within ``rounds``.  With ``tol=None`` exactly
-    ``rounds`` rounds are made.
+    Ranks are vectors of blocks, pushed along the tiles of the graph (``_Tiled``), and every round is written out; with
+    ``tol`` the L1 change is compared with n x tol every ``every`` rounds, and an error tells that it has not settled
+    within ``rounds``.  With ``tol=None`` exactly ``rounds`` rounds are made.
     """
-    deg = cut_lineage(strength(edges, vertices))
-    n = deg.count()
-    links = both_ways(edges).join(deg.select(F.col("v").alias("u"), "degree"), "u").select("u", "v", (F.col("w") / F.col("degree")).alias("share"))
-    links = cut_lineage(links)
-    base = deg.select("v", F.col("degree") == 0).toDF("v", "dangling")
-    ranks = base.select("v", "dangling", F.lit(1.0 / n).alias("rank"))
-    for i in range(1, rounds + 1):
-        got = links.join(ranks.select(F.col("v").alias("u"), "rank"), "u").groupBy("v").agg(F.sum(F.col("rank") * F.col("share")).alias("_in"))
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("m")).scalar()
-        fresh = (1 - damping) / n + damping * (F.coalesce("_in", F.lit(0.0)) + lost / n)
-        new = cut_lineage(ranks.join(got, "v", "left").select("v", "dangling", fresh.alias("new_rank"), F.col("rank").alias("old")))
-        if i % every == 0 or i == rounds:
-            if tol is not None and new.agg(F.sum(F.abs(F.col("new_rank") - F.col("old")))).first()[0] < n * tol:
-                ranks = new.select("v", "dangling", F.col("new_rank").alias("rank"))
+    graph = _Tiled(edges, vertices, weighted=True)
+    n = graph.n
+
+    def push(xa: np.ndarray, xb: np.ndarray, cells: Iterable) -> tuple[np.ndarray, np.ndarray]:
+        to_a, to_b = np.zeros(len(xa)), np.zeros(len(xb))
+        for i, j, w in cells:
+            np.add.at(to_b, j, xa[i] * w)
+            np.add.at(to_a, i, xb[j] * w)
+        return to_a, to_b
+
+    kinds = "block int, degree array<double>, rank array<double>, share array<double>, lost double, change double"
+
+    def kept(block: int, degree: np.ndarray, rank: np.ndarray, change: float) -> pd.DataFrame:
+        share = np.divide(rank, degree, out=np.zeros(len(rank)), where=degree != 0)
+        return pd.DataFrame({"block": [block], "degree": [degree], "rank": [rank], "share": [share], "lost": [float(rank[degree == 0].sum())], "change": [change]})
+
+    def start(parts: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        size = int(blocks["size"].iloc[0])
+        return kept(int(blocks["block"].iloc[0]), sum(parts.get("part", []), np.zeros(size)), np.full(size, 1.0 / max(n, 1)), 0.0)
+
+    ones = graph.blocks.select("block", F.array_repeat(F.lit(1.0), F.col("size").cast("int")).alias("x"))
+    state = cut_lineage(graph.along_edges(ones, "x", "double", push).groupBy("block").cogroup(graph.blocks.groupBy("block")).applyInPandas(start, kinds))
+    lost = state.agg(F.sum("lost")).first()[0]
+
+    def stepped(lost: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+        def step(parts: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+            degree, rank = np.asarray(old["degree"].iloc[0]), np.asarray(old["rank"].iloc[0])
+            fresh = (1 - damping) / max(n, 1) + damping * (sum(parts.get("part", []), np.zeros(len(rank))) + lost / max(n, 1))
+            return kept(int(old["block"].iloc[0]), degree, fresh, float(np.abs(fresh - rank).sum()))
+
+        return step
+
+    for i in range(1, rounds + 1 if n else 1):
+        parts = graph.along_edges(state, "share", "double", push)
+        state = cut_lineage(parts.groupBy("block").cogroup(state.groupBy("block")).applyInPandas(stepped(lost), kinds))
+        lost, change = state.agg(F.sum("lost"), F.sum("change")).first()
+        if tol is not None and (i % every == 0 or i == rounds):
+            if change < n * tol:
                 break
-            if tol is not None and i == rounds:
+            if i == rounds:
                 raise RuntimeError(f"PageRank has not settled within {rounds} rounds")
-        ranks = new.select("v", "dangling", F.col("new_rank").alias("rank"))
-    return ranks.select("v", F.col("rank").alias("pagerank"))
+    return graph.by_name(state, "rank").select("v", F.col("value").alias("pagerank"))
 
 
 def connected_components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(v, component): smallest vertex id of the component.
 
-    Each round takes the smallest label of the neighbours and then the label of that label (pointer jumping), so a
-    long chain needs logarithmically many rounds; they go on until no label changes.
+    Labels are places in the order of the ids, kept as vectors of blocks (``_Tiled``).  Each round takes the smallest label
+    of the neighbours along the tiles and then the label of that label (pointer jumping), so a long chain needs
+    logarithmically many rounds; they go on until no label changes.
     """
-    links = cut_lineage(both_ways(edges.withColumn("weight", F.lit(1.0))).select("u", "v").distinct())
-    verts = vertices_of(edges, vertices)
-    labels = cut_lineage(verts.select("v", F.col("v").alias("label")))
+    graph = _Tiled(edges, vertices, weighted=False)
+    g = graph.g
+    kinds = "block int, label array<long>, changed boolean"
+
+    def push(xa: np.ndarray, xb: np.ndarray, cells: Iterable) -> tuple[np.ndarray, np.ndarray]:
+        to_a, to_b = xa.copy(), xb.copy()
+        for i, j in cells:
+            np.minimum.at(to_b, j, xa[i])
+            np.minimum.at(to_a, i, xb[j])
+        return to_a, to_b
+
+    def lowest(parts: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        label = np.array(old["label"].iloc[0], dtype=np.int64)
+        low = label.copy()
+        for part in parts.get("part", []):
+            np.minimum(low, part, out=low)
+        return pd.DataFrame({"block": [old["block"].iloc[0]], "label": [low], "changed": [bool((low != label).any())]})
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for block, label in zip(pdf["block"], pdf["label"]):
+                want = np.unique(np.asarray(label, dtype=np.int64))
+                for k in range(g):
+                    yield pd.DataFrame({"block": [k], "asker": [block], "want": [want[want % g == k]]})
+
+    def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(own):
+            return pd.DataFrame({"block": [], "want": [], "hop": []}, dtype=object)
+        label = np.asarray(own["label"].iloc[0])
+        return pd.DataFrame({"block": asked["asker"], "want": asked["want"], "hop": [label[np.asarray(w, dtype=np.int64) // g] for w in asked["want"]]})
+
+    def jump(hops: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        label = np.asarray(old["label"].iloc[0], dtype=np.int64)
+        if len(label):
+            want, hop = (np.concatenate([np.asarray(p, dtype=np.int64) for p in hops[c]]) for c in ("want", "hop"))
+            order = np.argsort(want)
+            label = np.minimum(label, hop[order[np.searchsorted(want[order], label)]])
+        return pd.DataFrame({"block": old["block"], "label": [label], "changed": old["changed"]})
+
+    def block_order(n: Column) -> Column:
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda p: p * g + F.col("block"))).otherwise(F.array().cast("array<long>"))
+
+    state = cut_lineage(graph.blocks.select("block", block_order(F.col("size")).alias("label"), F.lit(True).alias("changed")))
     while True:
-        near = links.join(labels.select(F.col("v").alias("u"), "label"), "u").groupBy("v").agg(F.min("label").alias("near"))
-        low = labels.join(near, "v", "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        hop = low.select(F.col("v").alias("label"), F.col("label").alias("hop"))
-        jumped = cut_lineage(low.join(hop, "label", "left").select("v", "old", F.least("label", "hop").alias("label")))
-        labels = jumped.select("v", "label")
-        if jumped.where(F.col("old") != F.col("label")).isEmpty():
+        low = cut_lineage(graph.along_edges(state, "label", "long", push).groupBy("block").cogroup(state.groupBy("block")).applyInPandas(lowest, kinds))
+        if low.where("changed").isEmpty():
             break
-    return labels.select("v", F.col("label").alias("component"))
+        hops = low.select("block", "label").mapInPandas(ask, "block int, asker int, want array<long>")
+        hops = hops.groupBy("block").cogroup(low.groupBy("block")).applyInPandas(answer, "block int, want array<long>, hop array<long>")
+        state = cut_lineage(hops.groupBy("block").cogroup(low.groupBy("block")).applyInPandas(jump, kinds))
+    smallest = graph.names.select(F.col("place").alias("value"), F.col("v").alias("component"))
+    return graph.by_name(low, "label").join(smallest, "value").select("v", "component")
 
 
 def betweenness(edges: DataFrame, vertices: DataFrame | None = None, inverse_weight: bool = False, batch_sources: int = 1024) -> DataFrame:
@@ -323,6 +448,7 @@ def robust_scaled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def graph_summary(edges: DataFrame, sign: Column | None = None) -> DataFrame:
     """Nodes, edges, mean degree, density, components, positive and negative edges."""
+    edges = cut_lineage(edges)
     comps = connected_components(edges)
     nodes = comps.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("component").alias("c"))
     both = nodes.select(F.struct("n", "c").alias("s")).scalar()
