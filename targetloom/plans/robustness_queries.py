@@ -86,7 +86,7 @@ def _register_scenarios(name: str, base: str, keys: list[str], scenarios: list,
 
     @query(name, sql)
     def run(x: Inputs) -> DataFrame:
-        b = x.view(base)
+        b = cut_lineage(x.view(base))
         trials = B.apply_scenarios(b.drop("score"), array(), score()).select("scenario", *keys, "score")
         return _rounded(K.compare_scenarios(b.select(*keys, "score"), trials, keys, ["scenario"]), "scenario")
 
@@ -119,13 +119,14 @@ def _register_draws(name: str, base: str, keys: list[str], terms: list[str], sco
     rows = f"{base}_rows AS (SELECT b.*, scn.* FROM {base} b CROSS JOIN scn)"
     head = f"WITH {_dirichlet_cte(terms)}, {rows}, "
 
-    def trials(x: Inputs) -> DataFrame:
+    def trials(x: Inputs, b: DataFrame) -> DataFrame:
         draws = B.dirichlet_weights(x.spark, terms, TRIALS, SEED)
-        return B.score_trials(x.view(base).drop("score"), draws, score(), keys)
+        return B.score_trials(b.drop("score"), draws, score(), keys)
 
     @query(name, head + _compare_cte(base, keys, score_sql, "trial"))
     def run(x: Inputs) -> DataFrame:
-        return _rounded(K.compare_scenarios(x.view(base).select(*keys, "score"), trials(x), keys, ["trial"]), "trial")
+        b = cut_lineage(x.view(base))
+        return _rounded(K.compare_scenarios(b.select(*keys, "score"), trials(x, b), keys, ["trial"]), "trial")
 
     if stability:
         k = ", ".join(keys)
@@ -138,7 +139,8 @@ def _register_draws(name: str, base: str, keys: list[str], terms: list[str], sco
             SELECT {', '.join(f'b.{c}' for c in keys)}, count(t.trial) AS times_in_top FROM {base} b LEFT JOIN t ON {join} AND ps <= 10 GROUP BY ALL""",
         )
         def stable(x: Inputs) -> DataFrame:
-            return K.times_in_top(trials(x), keys, ["trial"], 10, x.view(base))
+            b = cut_lineage(x.view(base))
+            return K.times_in_top(trials(x, b), keys, ["trial"], 10, b)
 
 
 _register_draws("i03_entity_weight_draws", "entity_base", ["kinase_id"], _TARGET_TERMS, _ENTITY_SQL, _entity_score, "d26_entity_stability")
