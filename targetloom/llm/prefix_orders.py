@@ -196,7 +196,7 @@ def _placed(rows: DataFrame, percent: int, size: int, block: int) -> DataFrame:
     once = found.groupBy("d1", "d2", "n").agg(F.first("tokens").alias("tokens"))
     sets = cut_lineage(once.withColumn("class", F.monotonically_increasing_id()))
 
-    edges = _cluster_edges(sets.select("class", "n", "tokens"), percent, mask)
+    edges = cut_lineage(_cluster_edges(sets.select("class", "n", "tokens"), percent, mask))  # components read them twice
     links = _verified(sets.select("class", "n", "tokens"), edges, percent, block)
     labels = component_labels(links)
     named = sets.select("class", "d1", "d2").join(labels, F.col("class") == F.col("node")).select("d1", "d2", "label")
@@ -263,7 +263,7 @@ def _verified(sets: DataFrame, edges: DataFrame, percent: int, block: int) -> Da
     rest = rest.join(spread, "cluster").withColumn("i", F.pmod(F.xxhash64("class", F.lit(1)), F.col("rests")).cast("int"))
     left = rest.select("cluster", "i", everywhere, F.lit(0).alias("side"), "class")
     right = inside.join(spread, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "class")
-    second = _units(left.union(right).join(sets.select("class", "tokens"), "class"), percent)
+    second = cut_lineage(_units(left.union(right).join(sets.select("class", "tokens"), "class"), percent))
     return first.union(second)
 
 

@@ -8,7 +8,7 @@ a bounded sample of ``sample_docs`` documents drawn by hash; every document is s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,7 @@ from targetloom.session import cut_lineage
 
 SAMPLE_DOCS = 5_000
 SLOT_BITS = 14
+PIECE_VALUES = 1 << 16
 THRESHOLD = 0.5
 LABELLERS = ("symbols", "capitals", "variety", "repeats", "letterless", "word_length", "marked")
 _KIND = np.zeros((4, 256), dtype=bool)  # letters, small and capital; symbols: other than letters, digits, sentence marks and space
@@ -123,19 +124,39 @@ def features(words: Words, s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.nda
     return text[inside], slot[inside], binned
 
 
-def train_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, rate: float = 0.5, penalty: float = 1e-4) -> np.ndarray:
-    """Logistic weights (one per slot, the last is the bias) from (slots, values, probability of good)."""
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
-    slot = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, dtype=np.int32)
-    value = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, dtype=np.float32)
-    y = np.array([r[2] for r in rows])
+def train_scorer(rows: Iterable[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, rate: float = 0.5, penalty: float = 1e-4) -> np.ndarray:
+    """Logistic weights (one per slot, the last is the bias) from (slots, values, probability of good).
+
+    The rows are read once into pieces of about ``PIECE_VALUES`` values; a round makes arrays of a piece's length, never of all rows'.
+    """
+    pieces, good, waiting, held = [], [], [], 0
+
+    def close() -> None:
+        doc = np.repeat(np.arange(len(waiting), dtype=np.int32), [len(r[0]) for r in waiting])
+        pieces.append((len(waiting), doc, np.concatenate([r[0] for r in waiting]), np.concatenate([r[1] for r in waiting])))
+        waiting.clear()
+
+    for slot, value, p in rows:
+        waiting.append((slot, value))
+        good.append(p)
+        held += len(slot)
+        if held >= PIECE_VALUES:
+            close()
+            held = 0
+    if waiting:
+        close()
+    y = np.array(good)
     weights, seen = np.zeros((1 << SLOT_BITS) + 1), np.full((1 << SLOT_BITS) + 1, 1e-8)
     bad = max(1e-9, float((1 - y).sum()))
     balance = np.where(y > 0.5, 1.0, max(1.0, float(y.sum()) / bad)) if len(y) else y  # the rarer class counts as much
-    for _ in range(rounds if rows else 0):
-        margin = np.bincount(doc, weights[slot] * value, minlength=len(rows)) + weights[-1]
+    for _ in range(rounds if len(y) else 0):
+        margin = np.concatenate([np.bincount(doc, weights[slot] * value, minlength=n) for n, doc, slot, value in pieces]) + weights[-1]
         error = balance * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / balance.sum()
-        slope = np.append(np.bincount(slot, error[doc] * value, minlength=1 << SLOT_BITS), error.sum())
+        slope, first = np.zeros((1 << SLOT_BITS) + 1), 0
+        for n, doc, slot, value in pieces:
+            slope[:-1] += np.bincount(slot, error[first + doc] * value, minlength=1 << SLOT_BITS)
+            first += n
+        slope[-1] = error.sum()
         slope[:-1] += penalty * weights[:-1]
         seen += slope**2
         weights -= rate * slope / np.sqrt(seen)
@@ -181,7 +202,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         posterior = {row["pattern"]: float(p) for row, p in zip(counted, good)}
     # repeated identifiers could make the hash sample larger than its share: the bound holds all the same
     sample = seen.where("slots is not null").limit(2 * sample_docs).toLocalIterator()
-    weights = train_scorer([(np.frombuffer(r.slots, "<i4"), np.frombuffer(r.vals, "<f4"), posterior[r.pattern]) for r in sample])
+    weights = train_scorer((np.frombuffer(r.slots, "<i4"), np.frombuffer(r.vals, "<f4"), posterior[r.pattern]) for r in sample)
     learned = docs.sparkSession.sparkContext.broadcast((weights, posterior))  # 2 ** SLOT_BITS + 3 ** labellers numbers
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
