@@ -14,6 +14,7 @@ each, document ids i8 each.
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
@@ -40,9 +41,15 @@ def pack_bits(values: np.ndarray, width: int) -> bytes:
         return b""
     if width % 8 == 0 and width != 24:
         return values.astype(f"<u{width // 8}").tobytes()
-    narrow = values.astype("<u4")
-    bits = np.unpackbits(narrow.view(np.uint8).reshape(len(values), -1)[:, : (width + 7) // 8], axis=1, bitorder="little")
-    return np.packbits(bits[:, :width], bitorder="little").tobytes()
+    rows = np.zeros((-(-len(values) // 8), 8), dtype="<u8")  # eight values fill ``width`` bytes
+    rows.reshape(-1)[: len(values)] = values
+    words = np.zeros((len(rows), 4), dtype="<u8")
+    for i in range(8):
+        word, bit = divmod(i * width, 64)
+        words[:, word] |= rows[:, i] << np.uint64(bit)
+        if bit + width > 64:
+            words[:, word + 1] |= rows[:, i] >> np.uint64(64 - bit)
+    return words.view(np.uint8)[:, :width].tobytes()[: packed_size(len(values), width)]
 
 
 def unpack_bits(raw: bytes, count: int, width: int) -> np.ndarray:
@@ -68,7 +75,8 @@ def encode_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     """One block of at least one id (uint32)."""
     low = int(ids.min())
     diff = ids.astype(np.uint64) - np.uint64(low)
-    width = int(np.percentile(diff, percentile, method="inverted_cdf")).bit_length()
+    place = max(0, math.ceil(len(diff) * percentile / 100) - 1)
+    width = int(np.partition(diff, place)[place]).bit_length()
     high = diff >> np.uint64(width)
     at = np.flatnonzero(high)
     high_width = int(high.max()).bit_length()
