@@ -44,7 +44,7 @@ _LR = """per AS (SELECT gene, time, count(*) AS n, sum(hi) AS na, sum(event) AS
 def _(x: Inputs) -> DataFrame:
     from targetloom.operators.ranking import median_split
 
-    rows = x.expression.join(x.surv.select("patient_id", "time", "event"), "patient_id")
+    rows = cut_lineage(x.expression.join(x.surv.select("patient_id", "time", "event"), "patient_id").select("gene", "value", "time", "event"))
     split = median_split(rows, "value", ["gene"])
     return V.logrank(split, ["gene"], F.col("expression_group") == "high").select("gene", "n_events", r6("chi2").alias("chi2"))
 
