@@ -11,6 +11,7 @@ from targetloom.functions.numeric import r6
 from targetloom.operators import quality as Q
 from targetloom.plans.registry import query
 from targetloom.plans.roles import ROLE_SQL, Inputs
+from targetloom.session import cut_lineage
 from targetloom.sources import landed as A
 from targetloom.sources import sinks
 
@@ -191,8 +192,9 @@ _EFFECT_FILES = ("upright", "turned", "blank")
               CASE WHEN a = 0 AND b = 0 THEN 'all values are 0' WHEN a < -10 OR b > 10 THEN 'values too wide for gene effects' ELSE 'values fit gene effects' END FROM v""",
 )
 def _(x: Inputs) -> DataFrame:
-    panel = x.panel_scores.select(F.col("kinase_id").alias("gene"))
-    return Q.report([Q.gene_effect_checks(x.effect_cells.where(F.col("file") == f).drop("file"), panel, f) for f in _EFFECT_FILES])
+    panel = cut_lineage(x.panel_scores.select(F.col("kinase_id").alias("gene")))
+    cells = cut_lineage(x.effect_cells)  # each file reads them three times
+    return Q.report([Q.gene_effect_checks(cells.where(F.col("file") == f).drop("file"), panel, f) for f in _EFFECT_FILES])
 
 
 @query(

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="shared tables not present")
-@pytest.mark.parametrize("name", ["k04_logrank_all_genes"])
+@pytest.mark.parametrize("name", ["k04_logrank_all_genes", "m06_gene_effect_checks"])
 def test_result_reads_no_large_table(spark, name):
     load_all()
     out = QUERIES[name](spark, SF)
