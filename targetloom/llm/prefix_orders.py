@@ -30,6 +30,7 @@ PERCENT = 85
 SLACK_PERCENT = 20  # prefixes are longer than needed by this share, and must share so many tokens more
 BLOCK = 512
 BLOCK_TOKENS = 1 << 20
+HASH_BITS = 1 << 27
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +183,7 @@ def _placed(rows: DataFrame, percent: int, size: int, block: int) -> DataFrame:
     classes = measured.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     # an identifier that stands on several rows has their sum: none of them is lost
     left = cut_lineage(classes.join(met.withColumnRenamed("doc_id", "m_id"), F.col("rep").eqNullSafe(F.col("m_id"))).where(F.col("met") >= need).select("d1", "d2", "rep"))
-    asked = left.select(F.col("rep").alias("a_id")).distinct()
+    asked = cut_lineage(left.select(F.col("rep").alias("a_id")).distinct())
 
     def fetch(texts: list[bytes], first: int, batch: pa.RecordBatch) -> dict:
         text, token = shingle_sets(words_of(texts, lower=True), size)
@@ -191,7 +192,7 @@ def _placed(rows: DataFrame, percent: int, size: int, block: int) -> DataFrame:
         sets = [token[e - c : e].tobytes() for e, c in zip(ends.tolist(), n.tolist())]
         return {"row": np.arange(len(texts)), "d1": d1, "d2": d2, "n": n.astype(np.int64), "tokens": pa.array(sets, pa.binary())}
 
-    texts = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("a_id")), "left_semi")
+    texts = _perhaps_asked(rows, asked).join(asked, F.col("doc_id").eqNullSafe(F.col("a_id")), "left_semi")
     found = anchors.over_texts(texts, "d1 long, d2 long, n long, tokens binary", fetch, carry=()).join(left.select("d1", "d2"), ["d1", "d2"], "left_semi")
     once = found.groupBy("d1", "d2", "n").agg(F.first("tokens").alias("tokens"))
     sets = cut_lineage(once.withColumn("class", F.monotonically_increasing_id()))
@@ -209,6 +210,33 @@ def _placed(rows: DataFrame, percent: int, size: int, block: int) -> DataFrame:
     return placed.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).cast(id_type).alias("component_id"), "part")
 
 
+def _perhaps_asked(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``rows`` without most of those that the join with ``asked`` (a_id) drops, so that their texts are not shuffled.
+
+    A broadcast set of hash bits, at most ``HASH_BITS`` (16 MB), says which identifiers may be asked for; none of those
+    asked for is missing, and the join that follows drops the rest.
+    """
+    bits = max(1 << 18, min(HASH_BITS, 1 << (16 * asked.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("a_id"), F.lit(bits))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros(1 << 18, dtype=bool)
+        block[pdf["bit"].to_numpy() & ((1 << 18) - 1)] = True
+        return pd.DataFrame({"block": [int(pdf["bit"].iloc[0]) >> 18], "bits": [np.packbits(block).tobytes()]})
+
+    packed = np.zeros((bits >> 18, 1 << 15), dtype=np.uint8)
+    for row in asked.select(bit.alias("bit")).distinct().groupBy(F.shiftright("bit", 18)).applyInPandas(fill, "block long, bits binary").toLocalIterator():
+        packed[row.block] = np.frombuffer(row.bits, dtype=np.uint8)
+    held = rows.sparkSession.sparkContext.broadcast(packed.reshape(-1))
+
+    @F.pandas_udf("boolean")
+    def perhaps(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return rows.where(perhaps(F.pmod(F.xxhash64("doc_id"), F.lit(bits))))
+
+
 def _token_mask(measured: DataFrame) -> int:
     """Low bits that tell the tokens of this corpus apart well enough for filters, about one clash in 32 tokens.
 
@@ -251,10 +279,10 @@ def _verified(sets: DataFrame, edges: DataFrame, percent: int, block: int) -> Da
     right = placed.select("cluster", F.lit(0).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "class", "tokens").where("j > 0")
     first = cut_lineage(_units(left.union(right), percent))
     # clusters of several blocks: what the first block has not joined to the largest part is held against all
-    wide = sized.where("blocks > 1")
+    wide = cut_lineage(sized.where("blocks > 1"))  # a row for each ``block`` classes at most
     if wide.isEmpty():
         return first
-    inside = placed.where("blocks > 1")
+    inside = members.join(F.broadcast(wide), "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     parts = component_labels(first).select(F.col("node").alias("class"), "label")
     sorted_in = cut_lineage(inside.join(parts, "class", "left").select("cluster", "class", "blocks", "block", F.coalesce("label", "class").alias("part")))
     largest = sorted_in.groupBy("cluster", "part").count().groupBy("cluster").agg(F.max_by("part", "count").alias("part"), F.max("count").alias("most"), F.sum("count").alias("all"))
@@ -263,7 +291,8 @@ def _verified(sets: DataFrame, edges: DataFrame, percent: int, block: int) -> Da
     rest = rest.join(spread, "cluster").withColumn("i", F.pmod(F.xxhash64("class", F.lit(1)), F.col("rests")).cast("int"))
     left = rest.select("cluster", "i", everywhere, F.lit(0).alias("side"), "class")
     right = inside.join(spread, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "class")
-    second = cut_lineage(_units(left.union(right).join(sets.select("class", "tokens"), "class"), percent))
+    tokens = cut_lineage(inside.select("class", "tokens"))  # of wide clusters alone
+    second = cut_lineage(_units(left.union(right).join(tokens, "class"), percent))
     return first.union(second)
 
 

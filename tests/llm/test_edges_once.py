@@ -16,3 +16,11 @@ def test_components_read_written_edges(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in prefix_orders.near_components(docs, block=4).collect()}
     assert got == dict.fromkeys(range(12), 0)
     assert plans and not [p for p in plans if "MapInArrow" in p]
+
+
+def test_texts_that_nobody_asks_for_are_dropped_before_the_join(spark):
+    rows = spark.range(20_000).selectExpr("CASE WHEN id % 7 <> 0 THEN id END AS doc_id")
+    asked = spark.range(0, 20_000, 50).selectExpr("CASE WHEN id % 7 <> 0 THEN id END AS a_id").distinct()
+    kept = [r.doc_id for r in prefix_orders._perhaps_asked(rows, asked).collect()]
+    assert {r.a_id for r in asked.collect()} <= set(kept)
+    assert len([k for k in kept if k is not None]) < 600
