@@ -5,9 +5,12 @@ used: ascending hash, descending hash, and rarity among the documents that the f
 only while its prefix shares enough tokens with others; rarity prefixes, where common passages come last, part the
 rest into clusters; inside a cluster a pair is verified only if the prefixes meet under both hash orders.
 
-Equal sets are one class from the start.  Clusters above ``block`` classes are first held against one block of
-themselves, and then only what is not yet in their largest component against all, in blocks: a group of many near
-copies costs about its size, no pair is left out that could join two components, and no table of pairs is made.
+Equal sets are one class from the start.  In a large corpus chance tokens chain rarity clusters to a few giants: those
+above ``block`` classes are parted once more, by rarity among themselves, and classes that share a token stay together
+only if counts of their tokens in ``BUCKETS`` buckets allow the overlap.  What is still above ``block`` classes is first
+held against one block of itself, and then only what is not yet in its largest component against all, in blocks, a few
+of them at a time: a group of many near copies costs about its size, no pair is left out that could join two
+components, no table of pairs is made, and the sets on disk at once are a few times those of the wide clusters.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from targetloom.llm import anchors
-from targetloom.llm.components import component_labels
+from targetloom.llm.components import component_labels, smallest_labels
 from targetloom.llm.registry import query, table
 from targetloom.llm.wordgrid import Words, mix, prefix_hash, signed, span_hash, words_of
 from targetloom.session import cut_lineage
@@ -31,6 +34,10 @@ SLACK_PERCENT = 20  # prefixes are longer than needed by this share, and must sh
 BLOCK = 512
 BLOCK_TOKENS = 1 << 20
 HASH_BITS = 1 << 27
+BUCKETS = 64
+ROUND_BLOCKS = 2  # of what is held against all of a wide cluster at a time
+PAIRS_AT_ONCE = 1 << 16
+LIST_ROWS = 1 << 14  # held at a time, the last list aside
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +205,7 @@ def _placed(rows: DataFrame, percent: int, size: int, block: int) -> DataFrame:
     sets = cut_lineage(once.withColumn("class", F.monotonically_increasing_id()))
 
     edges = cut_lineage(_cluster_edges(sets.select("class", "n", "tokens"), percent, mask))  # components read them twice
-    links = _verified(sets.select("class", "n", "tokens"), edges, percent, block)
+    links = _verified(sets.select("class", "n", "tokens"), edges, percent, block, mask)
     labels = component_labels(links)
     named = sets.select("class", "d1", "d2").join(labels, F.col("class") == F.col("node")).select("d1", "d2", "label")
     known = classes.join(named, ["d1", "d2"]).select("d1", "d2", "n", "rep", "label")
@@ -247,8 +254,8 @@ def _token_mask(measured: DataFrame) -> int:
     return (1 << min(63, int(total).bit_length() + 5)) - 1
 
 
-def _cluster_edges(sets: DataFrame, percent: int, mask: int) -> DataFrame:
-    """(u, v) from each set to the first set of each token in its rarity prefix."""
+def _rarity_prefixes(sets: DataFrame, percent: int, mask: int) -> DataFrame:
+    """(class, df, token, first) of each set's rarity prefix: its tokens, the sets they are in and the first of those."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,13 +271,100 @@ def _cluster_edges(sets: DataFrame, percent: int, mask: int) -> DataFrame:
     sized = sets.select("class", "n").join(listed, "class")
     free = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("common"))
     first = F.explode(F.slice("common", F.lit(1), F.greatest(free, F.lit(0)).cast("int"))).alias("t")
-    return sized.select("class", first).select(F.col("class").alias("u"), F.col("t.first").alias("v")).distinct()
+    return sized.select("class", first).select("class", "t.df", "t.token", "t.first")
+
+
+def _cluster_edges(sets: DataFrame, percent: int, mask: int) -> DataFrame:
+    """(u, v) from each set to the first set of each token in its rarity prefix."""
+    return _rarity_prefixes(sets, percent, mask).select(F.col("class").alias("u"), F.col("first").alias("v")).distinct()
+
+
+def bucket_counts(token: np.ndarray) -> bytes:
+    """Tokens of a set in each of ``BUCKETS`` buckets; all full for a set that could overflow one."""
+    counts = np.bincount((token >> np.uint64(7)) % np.uint64(BUCKETS), minlength=BUCKETS) if len(token) <= 0xFFFF else np.full(BUCKETS, 0xFFFF)
+    return counts.astype("<u2").tobytes()
+
+
+def may_link(n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of those sizes and bucket counts (pairs x buckets) can be similar enough: no linked pair is denied."""
+    least = np.minimum(n_a, n_b)
+    shared = np.where(least > 0xFFFF, least, np.minimum(least, np.minimum(a, b).sum(axis=1, dtype=np.int64)))
+    return 100 * shared >= percent * (n_a + n_b - shared)
 
 
-def _verified(sets: DataFrame, edges: DataFrame, percent: int, block: int) -> DataFrame:
+def _narrower_edges(sets: DataFrame, percent: int, block: int, mask: int) -> DataFrame:
+    """(u, v) edges whose components hold all links between ``sets``, finer than those of ``_cluster_edges``.
+
+    Sets that share a token of their rarity prefixes meet in a list; equal lists are one, and inside a list only pairs
+    that ``may_link`` are joined.  The sets of a token that more than ``block`` sets hold are joined as they are.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [bucket_counts(np.frombuffer(x.as_py(), dtype=np.uint64)) for x in batch.column("tokens")]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("n"), pa.array(held, pa.binary())], ["class", "n", "counts"])
+
+    def pairs_of(size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        i, j = np.triu_indices(size, 1)
+        for at in range(0, len(i), PAIRS_AT_ONCE):
+            yield i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE]
+
+    def solve(lists: np.ndarray, name: np.ndarray, n: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        head = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
+        sizes = np.diff(np.append(head, len(lists)))
+        u, v = name, name
+        for size in np.unique(sizes[sizes > 1]).tolist():
+            starts = head[sizes == size]
+            for i, j in pairs_of(size):
+                step = max(1, PAIRS_AT_ONCE // len(i))
+                for at in range(0, len(starts), step):
+                    a, b = ((starts[at : at + step, None] + x).ravel() for x in (i, j))
+                    good = may_link(n[a], counts[a], n[b], counts[b], percent)
+                    u, v = np.append(u, name[a[good]]), np.append(v, name[b[good]])
+                    if len(u) > 8 * PAIRS_AT_ONCE:
+                        u, v = smallest_labels(u, v)
+        u, v = smallest_labels(u, v)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+        for batch in batches:
+            counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), dtype="<u2").reshape(-1, BUCKETS)
+            held.append((*(batch.column(c).to_numpy() for c in ("list", "class", "n")), counts))
+            rows += batch.num_rows
+            if rows >= LIST_ROWS:  # all but the last list are whole
+                whole = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.searchsorted(whole[0], whole[0][-1]))
+                if cut:
+                    yield solve(*(x[:cut] for x in whole))
+                held, rows = [tuple(x[cut:] for x in whole)], rows - cut
+        if rows:
+            yield solve(*(np.concatenate(x) for x in zip(*held)))
+
+    prefixes = cut_lineage(_rarity_prefixes(sets, percent, mask))
+    hot = prefixes.where(F.col("df") > block).select(F.col("class").alias("u"), F.col("first").alias("v"))
+    lists = prefixes.where(F.col("df") <= block).groupBy("token").agg(F.sort_array(F.collect_list("class")).alias("classes")).where(F.size("classes") > 1).select("classes").distinct()
+    met = lists.select(F.xxhash64("classes").alias("list"), F.explode("classes").alias("class")).join(sets.select("class", "n", "tokens").mapInArrow(count, "class long, n long, counts binary"), "class")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.repartition(parts, "list").sortWithinPartitions("list").select("list", "class", "n", "counts")
+    return dealt.mapInArrow(run, "u long, v long").union(hot).distinct()
+
+
+def _clusters(sets: DataFrame, edges: DataFrame, percent: int, block: int, mask: int) -> DataFrame:
+    """(class, cluster) of all sets that ``edges`` join to others; clusters above ``block`` sets are parted again."""
+    clusters = cut_lineage(component_labels(edges).select(F.col("node").alias("class"), F.col("label").alias("cluster")))
+    wide = cut_lineage(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block).select("cluster"))  # few: each holds over ``block`` sets
+    if wide.isEmpty():
+        return clusters
+    inside = cut_lineage(sets.join(clusters.join(F.broadcast(wide), "cluster", "left_semi").select("class"), "class", "left_semi"))
+    labels = component_labels(cut_lineage(_narrower_edges(inside, percent, block, mask)))
+    return cut_lineage(clusters.join(F.broadcast(wide), "cluster", "left_anti").union(labels.select(F.col("node").alias("class"), F.col("label").alias("cluster")).select("cluster", "class")).select("class", "cluster"))
+
+
+def _verified(sets: DataFrame, edges: DataFrame, percent: int, block: int, mask: int) -> DataFrame:
     """(u, v) edges that join the linked classes; every class of a cluster has at least a loop."""
-    clusters = component_labels(edges)
-    members = cut_lineage(clusters.select(F.col("node").alias("class"), F.col("label").alias("cluster")).join(sets, "class"))
+    members = cut_lineage(_clusters(sets, edges, percent, block, mask).join(sets, "class"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / (block * BLOCK_TOKENS / BLOCK))).cast("int")
     sized = members.groupBy("cluster").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     placed = members.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
@@ -289,11 +383,16 @@ def _verified(sets: DataFrame, edges: DataFrame, percent: int, block: int) -> Da
     rest = sorted_in.join(largest.select("cluster", "part"), ["cluster", "part"], "left_anti")
     spread = largest.select("cluster", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("rests")).where("rests > 0")
     rest = rest.join(spread, "cluster").withColumn("i", F.pmod(F.xxhash64("class", F.lit(1)), F.col("rests")).cast("int"))
-    left = rest.select("cluster", "i", everywhere, F.lit(0).alias("side"), "class")
-    right = inside.join(spread, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "class")
+    left = cut_lineage(rest.select("cluster", "i", "blocks", "class"))
+    most = left.agg(F.max("i")).first()[0]
     tokens = cut_lineage(inside.select("class", "tokens"))  # of wide clusters alone
-    second = cut_lineage(_units(left.union(right).join(tokens, "class"), percent))
-    return first.union(second)
+    out = first
+    for low in range(0, 0 if most is None else most + 1, ROUND_BLOCKS):
+        some = left.where(F.col("i").between(low, low + ROUND_BLOCKS - 1)).select("cluster", "i", everywhere, F.lit(0).alias("side"), "class")
+        turns = F.explode(F.sequence(F.lit(low), F.least(F.lit(low + ROUND_BLOCKS), F.col("rests")) - 1)).alias("i")
+        right = inside.join(spread.where(F.col("rests") > low), "cluster").select("cluster", turns, F.col("block").alias("j"), F.lit(1).alias("side"), "class")
+        out = out.union(cut_lineage(_units(some.union(right).join(tokens, "class"), percent)))
+    return out
 
 
 def _units(rows: DataFrame, percent: int) -> DataFrame:
