@@ -5,8 +5,9 @@ blocks of consecutive vectors.  Pairs of sequence intervals are joined recursive
 blocks; an interval keeps the box around its vectors, and a pair of boxes farther apart than epsilon is left out, for no
 vector of one can reach one of the other.  What remains is compared in blocks by cosine in double precision.
 
-Equal vectors are one class before the join, and a pair of blocks reports a count and a smallest neighbour per class,
-never a row per pair.  The rotation is fitted on a bounded sample (``FIT_NUMBERS`` vector components); it only decides
+Equal vectors are one class before the join.  Pairs of blocks are dealt in units of two stripes of consecutive blocks,
+so that a block is copied once per unit, not once per pair; units go in rounds of bounded copies, whose shuffles are
+dropped.  A unit reports a count and a smallest neighbour per class, never a row per pair.  The rotation is fitted on a bounded sample (``FIT_NUMBERS`` vector components); it only decides
 how much is left out, not what is found.
 """
 
@@ -21,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from targetloom.llm.components import component_labels
+from targetloom.llm.components import component_labels, smallest_labels
 from targetloom.llm.registry import query, table
 from targetloom.session import cut_lineage
 
@@ -30,6 +31,9 @@ BLOCK = 4096
 LEADING = 8
 FIT_NUMBERS = 1 << 20
 FAN = 8  # intervals of one level that make one of the next
+STRIPE_BYTES = 64 << 20  # of vectors that a task of the join holds
+ROUND_BYTES = 128 << 20  # of copied blocks in a round of the join, or as many as all blocks have where that is more
+LINK_ROWS = 1 << 20
 
 
 def _rotations(classes: DataFrame) -> dict[int, np.ndarray]:
@@ -73,11 +77,12 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, block: int = B
     if not 0 < least <= 1:
         raise ValueError("the least cosine lies above 0 and not above 1")
     id_type = vectors.schema[id_col].dataType.simpleString()
-    rows = cut_lineage(vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vec")).mapInArrow(_usable, f"vec_id {id_type}, key binary, dim int, vec binary"))
-    grouped = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
+    read = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vec")).mapInArrow(_usable, f"vec_id {id_type}, key binary, dim int, vec binary")
+    rows = cut_lineage(read.select("vec_id", "key"))  # the vectors are read again: two tables of them, classes and blocks, are enough
+    grouped = read.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
     classes = cut_lineage(grouped.withColumn("class", F.monotonically_increasing_id()))
     pairs, blocks = _block_pairs(classes, least, block)
-    links = cut_lineage(_linked(pairs, blocks, least))
+    links = _linked(pairs, blocks, least)
     labels = component_labels(links.select("u", "v"))
     named = classes.select("key", "class", "rep", "copies").join(labels, F.col("class") == F.col("node"), "left")
     counts = links.groupBy("u").agg(F.sum("n").alias("n"))
@@ -146,12 +151,16 @@ def _block_pairs(classes: DataFrame, least: float, block: int) -> tuple[DataFram
         before += row["count"]
     starts = classes.sparkSession.createDataFrame(offsets, "part long, start long")
     blocks = blocks.withColumn("part", F.shiftright("place", 33)).join(F.broadcast(starts), "part").withColumn("s", F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1))
-    blocks = cut_lineage(blocks.select("s", "dim", "ids", "copies", "vecs", "low", "high"))
-    return _joined_intervals(blocks, before, epsilon), blocks
+    blocks = blocks.select("s", "dim", "ids", "copies", "vecs", "low", "high")
+    return _joined_intervals(cut_lineage(blocks.select("s", "dim", "low", "high")), before, epsilon), blocks
 
 
 def _joined_intervals(blocks: DataFrame, count: int, epsilon: float) -> DataFrame:
-    """Pairs (a <= b) of blocks whose boxes come within epsilon, by recursion over intervals of the sequence."""
+    """Pairs (a <= b) of blocks whose boxes come within epsilon, by recursion over intervals of the sequence.
+
+    The boxes, a row per block at most, are broadcast: pairs are shuffled without them.
+    """
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     levels = [blocks.select("s", "dim", F.col("dim").alias("last_dim"), "low", "high")]
     while count > 1:
         corner = [f(F.col(c)[i]).alias(f"{c}{i}") for c, f in (("low", F.min), ("high", F.max)) for i in range(LEADING)]
@@ -163,51 +172,94 @@ def _joined_intervals(blocks: DataFrame, count: int, epsilon: float) -> DataFram
         children = [F.explode(F.sequence(F.col(c) * FAN, F.col(c) * FAN + FAN - 1)).alias(c) for c in ("a", "b")]
         down = pairs.select(children[0], "b").select("a", children[1]).where("a <= b")
         left, right = ([F.col(c).alias(f"{side}_{c}") for c in ("s", "dim", "last_dim", "low", "high")] for side in ("a", "b"))
-        met = down.join(level.select(*left), F.col("a") == F.col("a_s")).join(level.select(*right), F.col("b") == F.col("b_s"))
+        spread = down.repartition(parts, "a", "b")
+        met = spread.join(F.broadcast(level.select(*left)), F.col("a") == F.col("a_s")).join(F.broadcast(level.select(*right)), F.col("b") == F.col("b_s"))
         gaps = [F.greatest(F.lit(0.0), F.col("b_low")[i] - F.col("a_high")[i], F.col("a_low")[i] - F.col("b_high")[i]) for i in range(LEADING)]
         near = sum(g * g for g in gaps) <= epsilon**2 * (1 + 1e-9) + 1e-12
         pairs = cut_lineage(met.where((F.col("a_dim") <= F.col("b_last_dim")) & (F.col("b_dim") <= F.col("a_last_dim")) & near).select("a", "b"))
     return pairs
 
 
+def _units(pairs: DataFrame, stripe: int) -> DataFrame:
+    """(s, row_stripe, column_stripe, side, partners) of the blocks that a pair of stripes needs: its rows a are side 0,
+    its columns b side 1 with the a of their pairs."""
+    units = pairs.select("a", "b", F.floor(F.col("a") / stripe).alias("row_stripe"), F.floor(F.col("b") / stripe).alias("column_stripe"))
+    by = ["row_stripe", "column_stripe"]
+    rows = units.groupBy(F.col("a").alias("s"), *by).agg(F.lit(0).alias("side"), F.lit(None).cast("array<long>").alias("partners"))
+    return rows.unionByName(units.groupBy(F.col("b").alias("s"), *by).agg(F.lit(1).alias("side"), F.collect_list("a").alias("partners")))
+
+
 def _linked(pairs: DataFrame, blocks: DataFrame, least: float) -> DataFrame:
-    """(u, v, n) per class and pair of blocks: a class that links reach from it there, and the rows linked directly."""
+    """(u, v, n) per class and unit: the smallest class that links reach from it there, and the rows linked directly."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(row_a: dict, row_b: dict, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        (ids_a, n_a, x), (ids_b, n_b, y) = (
+            (np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["copies"], "<i8"), _unit(np.frombuffer(r["vecs"], "<f4").reshape(-1, r["dim"]))) for r in (row_a, row_b)
+        )
+        found_a, found_b = [], []
+        for i in range(0, len(x), 1024):
+            cosine = x[i : i + 1024] @ y.T
+            a, b = np.nonzero(cosine >= least)
+            a = a + i
+            keep = a != b if same else np.ones(len(a), dtype=bool)
+            found_a.append(a[keep])
+            found_b.append(b[keep])
+        a, b = np.concatenate(found_a), np.concatenate(found_b)
+        count_a = np.bincount(a, n_b[b], minlength=len(x))
+        count_b = np.zeros(len(y)) if same else np.bincount(b, n_a[a], minlength=len(y))
+        low_a, low_b = ids_a.copy(), ids_b.copy()
+        np.minimum.at(low_a, a, ids_b[b])
+        np.minimum.at(low_b, b, low_a[a])
+        ids, low, count = np.concatenate([ids_a, ids_b]), np.concatenate([low_a, low_b]), np.concatenate([count_a, count_b])
+        # each link's ends share a label or are joined through it: u - low(u), and u - low of its neighbours
+        extra = np.unique(np.stack([low_a[a], low_b[b]], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
+        some = count > 0 if not same else np.concatenate([count_a > 0, np.zeros(len(y), dtype=bool)])
+        back = np.flatnonzero(np.concatenate([np.zeros(len(x), dtype=bool), np.bincount(b, minlength=len(y)) > 0])) if same else np.zeros(0, dtype=np.int64)
+        u = np.concatenate([ids[some], ids[back], extra[:, 0]])
+        v = np.concatenate([low[some], low[back], extra[:, 1]])
+        return u, v, np.concatenate([count[some].astype(np.int64), np.zeros(len(back) + len(extra), dtype=np.int64)])
+
+    def merged(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u, v, n = (np.concatenate(x) for x in zip(*found))
+        ends, low = smallest_labels(u, v)
+        total = np.zeros(len(ends), dtype=np.int64)
+        np.add.at(total, np.searchsorted(ends, u), n)
+        return ends, low, total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict] = {}
+        found: list[tuple[np.ndarray, ...]] = []
+        last = None
         for batch in batches:
-            for row in batch.to_pylist():
-                (ids_a, n_a, x), (ids_b, n_b, y) = (
-                    (np.frombuffer(row[f"{s}_ids"], "<i8"), np.frombuffer(row[f"{s}_copies"], "<i8"), _unit(np.frombuffer(row[f"{s}_vecs"], "<f4").reshape(-1, row["dim"]))) for s in "ab"
-                )
-                same = row["a"] == row["b"]
-                found_a, found_b = [], []
-                for i in range(0, len(x), 1024):
-                    cosine = x[i : i + 1024] @ y.T
-                    a, b = np.nonzero(cosine >= least)
-                    a = a + i
-                    keep = a != b if same else np.ones(len(a), dtype=bool)
-                    found_a.append(a[keep])
-                    found_b.append(b[keep])
-                a, b = np.concatenate(found_a), np.concatenate(found_b)
-                count_a = np.bincount(a, n_b[b], minlength=len(x))
-                count_b = np.zeros(len(y)) if same else np.bincount(b, n_a[a], minlength=len(y))
-                low_a, low_b = ids_a.copy(), ids_b.copy()
-                np.minimum.at(low_a, a, ids_b[b])
-                np.minimum.at(low_b, b, low_a[a])
-                ids, low, count = np.concatenate([ids_a, ids_b]), np.concatenate([low_a, low_b]), np.concatenate([count_a, count_b])
-                # each link's ends share a label or are joined through it: u - low(u), and u - low of its neighbours
-                extra = np.unique(np.stack([low_a[a], low_b[b]], axis=1), axis=0) if len(a) else np.zeros((0, 2), dtype=np.int64)
-                some = count > 0 if not same else np.concatenate([count_a > 0, np.zeros(len(y), dtype=bool)])
-                back = np.flatnonzero(np.concatenate([np.zeros(len(x), dtype=bool), np.bincount(b, minlength=len(y)) > 0])) if same else np.zeros(0, dtype=np.int64)
-                u = np.concatenate([ids[some], ids[back], extra[:, 0]])
-                v = np.concatenate([low[some], low[back], extra[:, 1]])
-                n = np.concatenate([count[some].astype(np.int64), np.zeros(len(back) + len(extra), dtype=np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], ["u", "v", "n"])
-
-    left, right = ([F.col(c).alias(f"{s}_{c}") for c in ("s", "ids", "copies", "vecs")] for s in "ab")
-    tasks = max(1, min(pairs.count(), 8 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    units = pairs.join(blocks.select("dim", *left), F.col("a") == F.col("a_s")).join(blocks.select(F.col("dim").alias("b_dim"), *right), F.col("b") == F.col("b_s")).where("dim = b_dim")
-    return units.drop("a_s", "b_s", "b_dim").repartition(tasks, "a", "b").mapInArrow(compare, "u long, v long, n long")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if (unit := (row["row_stripe"], row["column_stripe"])) != last:
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(found)], ["u", "v", "n"])
+                    held, found, last = {}, [], unit
+                if row["side"] == 0:
+                    held[row["s"]] = row
+                for a in row["partners"] or ():
+                    if held[a]["dim"] == row["dim"]:
+                        found.append(compare(held[a], row, a == row["s"]))
+                        if sum(len(x[0]) for x in found) > LINK_ROWS:
+                            found = [merged(found)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(found)], ["u", "v", "n"])
+
+    spark = pairs.sparkSession
+    tasks = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count, widest, total = blocks.agg(F.count(F.lit(1)), F.max(F.length("vecs")), F.sum(F.length("vecs"))).first()
+    stripe = max(1, min(count // math.isqrt(2 * tasks), STRIPE_BYTES // max(1, widest or 0)))
+    needed = cut_lineage(_units(pairs, stripe))
+    rounds = math.ceil(needed.count() * (total or 0) / max(1, count) / max(total or 0, ROUND_BYTES))
+    out = spark.createDataFrame([], "u long, v long, n long")
+    for turn in range(rounds):
+        now = needed.where(F.pmod(F.xxhash64("row_stripe", "column_stripe"), F.lit(rounds)) == turn)
+        copies = blocks.select("s", "dim", "ids", "copies", "vecs").join(F.broadcast(now), "s")  # ``now`` has no vectors: stripes and places of as many rows as a round copies
+        dealt = copies.repartition(tasks, "row_stripe", "column_stripe").sortWithinPartitions("row_stripe", "column_stripe", "side", "s")
+        out = out.union(cut_lineage(dealt.mapInArrow(run, "u long, v long, n long")))
+    return out
 
 
 @query("op8_grid_order")
