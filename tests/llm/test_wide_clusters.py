@@ -54,3 +54,15 @@ def test_second_round_goes_by_pieces(spark, monkeypatch):
     again = prefix_orders.near_components(brute.documents(spark, rows), percent=60, block=4).collect()
     assert brute.same_rows(got, brute.near_components(rows, 60)) and brute.same_rows(again, brute.near_components(rows, 60))
     assert len(sizes) == 2 and rounds > 2 and most < max(sizes)
+
+
+def test_near_stage_copies_no_chained_sets(spark, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    parts = [brute.prose(rng, 40) for _ in range(701)]
+    rows = [(i, f"{parts[i]} {parts[i + 1]}") for i in range(700)]  # one chain, above a block of 512
+    copied, units = [], prefix_orders._units
+    monkeypatch.setattr(prefix_orders, "_units", lambda r, percent: (copied.append(r.count()), units(r, percent))[1])
+    kept = dict(pipeline.STAGES)["near"](spark, brute.documents(spark, rows + [(900, rows[3][1] + " end")]), "")
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == set(range(700))
+    assert sum(copied) < 100
